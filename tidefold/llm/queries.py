@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, packing, quality, urlmodel
+from . import licenses, mixing, packing, quality, urlmodel, warc
 from .common import table
 
 
@@ -16,6 +16,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents, model)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlmodel.judge(table(spark, sf_dir, "pages"))
 
@@ -35,6 +41,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op3_warc": op3_warc,
         "op4_url_filters": op4_url_filters,
         "op7_license_scan": op7_license_scan,
         "op9_packing": op9_packing,
@@ -43,4 +50,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": urlmodel.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+    return {
+        "op3_warc": warc.ORACLE_SQL,
+        "op4_url_filters": urlmodel.ORACLE_SQL,
+        "op10_mixing": mixing.ORACLE_SQL,
+    }
