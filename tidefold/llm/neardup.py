@@ -4,12 +4,14 @@
    set, and the band keys of a SuperMinHash signature. Texts are not shuffled.
 2. Equal sets form a class, represented by its least doc_id; only representatives go on, so copies
    are never expanded into pairs.
-3. Banding: a representative is a candidate with the least one in each of its buckets. Candidates
-   are verified on full sets, and the links give first components.
+3. Banding: in each bucket a random member leads, another one in each bucket of a large group, and
+   the other members are candidates with it. Candidates are verified on full sets, and the links
+   give first components, in which a large group of near copies already is one.
 4. What is left are pairs of a bucket that lie in different components. In each bucket the members
-   outside its most frequent component meet all members of other components, and those candidates are
-   verified too, so no link between components is lost, while members of one component, which a
-   large group of near copies forms after step 3, are never paired.
+   outside its most frequent component meet the members of other components; the join drops those
+   that a lossless bound on parity sketches rules out, and the others are verified too, so no link
+   between components is lost. Members of one component, which a large group of near copies forms
+   after step 3, are never paired.
 5. Components of all links (union-find by star contraction) are joined back to the documents.
 
 With 42 bands of 6 rows a pair at the limit of 0.8 shares no band with probability 3e-6, and pairs
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import superminhash as smh
@@ -34,6 +36,8 @@ from .common import cut, map_arrow
 from .components import components
 
 BANDS, ROWS = 42, 6
+#: Longs of a parity sketch.
+WORDS = 16
 #: Ids that may be broadcast (16 MB of longs); beyond, joins are left to shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -77,26 +81,31 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(documents: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (fingerprint) and keys (one per band; none for an empty set)."""
+    """doc_id, n_shingles, f1, f2 (fingerprint), keys (one per band; none for an empty set) and parity
+    (of the numbers of elements that fall into each of 64 * WORDS bins)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        size, prints, keys = [], [], []
+        size, prints, keys, parities = [], [], [], []
         for s in tv.slices(batch.column("text"), 1 << 18):
             sets = shingle_sets(s, k)
             n = np.array([len(x) for x in sets])
             sig = smh.signatures(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), len(sets), bands * rows)
             found = smh.band_keys(sig, bands)
             keys += [found[i] if n[i] else found[i][:0] for i in range(len(sets))]
+            bins = (tv.mix(np.concatenate(sets) + np.uint64(5)) % np.uint64(64 * WORDS)).astype(np.int64)
+            bins += np.repeat(np.arange(len(sets)), n) * 64 * WORDS
+            odd = (np.bincount(bins, minlength=len(sets) * 64 * WORDS) & 1).astype(np.uint8)
+            parities += list(np.packbits(odd).view(np.uint64).reshape(len(sets), WORDS))
             size.append(n)
             prints.append(fingerprint(sets))
         f = np.concatenate(prints, axis=1)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.concatenate(size).astype(np.int64)), pa.array(f[0]), pa.array(f[1]), _lists(keys)],
-            ["doc_id", "n_shingles", "f1", "f2", "keys"],
+            [batch.column("doc_id"), pa.array(np.concatenate(size).astype(np.int64)), pa.array(f[0]), pa.array(f[1]), _lists(keys), _lists(parities)],
+            ["doc_id", "n_shingles", "f1", "f2", "keys", "parity"],
         )
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(docs, run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
+    return map_arrow(docs, run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, parity array<long>")
 
 
 def small_side(ids: DataFrame) -> DataFrame:
@@ -115,22 +124,63 @@ def _sets_of(documents: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return map_arrow(docs.join(small_side(ids), "node", "left_semi"), run, "node long, elements array<long>").distinct()
 
 
+def _alike(x: Column, y: Column, percent: int) -> Column:
+    """100 * intersection >= percent * union, by size first."""
+    n, m, both = F.size(x), F.size(y), F.size(F.array_intersect(x, y))
+    by_size = F.greatest(n, m) * percent <= 100 * F.least(n, m)
+    return by_size & (100 * both >= percent * (n + m - both))
+
+
 def verified(documents: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b) whose full sets are alike."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "dedup-ids")
     sets = cut(_sets_of(documents, ids, k), "dedup-sets")
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    near = (F.greatest(F.size("x"), F.size("y")) * percent) <= 100 * F.least(F.size("x"), F.size("y"))
-    both = F.size(F.array_intersect("x", "y"))
     return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .where(near)
-        .where(100 * both >= percent * (F.size("x") + F.size("y") - both))
-        .select("a", "b")
+        pairs.join(left, "a").join(right, "b").where(_alike(F.col("x"), F.col("y"), percent)).select("a", "b").distinct()
+    )
+
+
+def pairs_across(buckets: DataFrame, groups: DataFrame, parity: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a < b): members of one bucket that lie in different components and whose sets may
+    be alike.
+
+    Leaders have met all members already, so they are left out. In what remains of a bucket the
+    members outside its most frequent component meet those of other components. The join itself
+    drops pairs that cannot be alike: the Hamming distance of two parity sketches is at most the
+    symmetric difference of the sets, and alike sets have a symmetric difference of at most
+    (100 - percent) / (100 + percent) of the sum of their sizes. Nothing alike is dropped by that.
+    """
+    rows = (
+        buckets.where("node <> lead")
+        .join(groups, "node", "left")
+        .select("key", "node", F.coalesce("component", "node").alias("component"))
         .distinct()
     )
+    rows = cut(rows, "dedup-rows")
+    top = (
+        rows.groupBy("key", "component")
+        .count()
+        .groupBy("key")
+        .agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("n"))
+        .where("n > 1")
+        .select("key", F.col("top.component").alias("top"))
+    )
+    full = rows.join(top, "key").join(parity, "node")
+    few = full.where("component <> top").select(
+        "key", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("parity").alias("px")
+    )
+    every = full.select(
+        F.col("key").alias("k"), F.col("node").alias("y"), F.col("component").alias("cy"), "top",
+        F.col("n").alias("ny"), F.col("parity").alias("py"),
+    )
+    once = (F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))
+    by_size = F.greatest("nx", "ny") * percent <= 100 * F.least("nx", "ny")
+    apart = sum((F.bit_count(F.col("px")[i].bitwiseXOR(F.col("py")[i])) for i in range(WORDS)), F.lit(0))
+    by_sketch = apart * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
+    meet = (F.col("key") == F.col("k")) & (F.col("cx") != F.col("cy")) & once & by_size & by_sketch
+    return few.join(every, meet).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -147,57 +197,41 @@ def near_duplicates(
         (F.col("doc_id") == F.col("node")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")),
     )
     rows_of = reps.select("node", F.explode("keys").alias("key"))
+    mask = F.xxhash64("key")  # ids under a mask of the bucket's own: its least is a random member
     shared = (
-        rows_of.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
+        rows_of.select("key", F.col("node").bitwiseXOR(mask).alias("m"))
+        .groupBy("key")
+        .agg(F.min("m").alias("low"), F.max("m").alias("high"))
+        .where("low < high")
+        .select("key", F.col("low").bitwiseXOR(mask).alias("lead"))
     )
-    buckets = cut(rows_of.join(shared.select("key", "lead"), "key").select("key", "lead", "node"), "dedup-buckets")
+    buckets = cut(rows_of.join(shared, "key").select("key", "lead", "node"), "dedup-buckets")
     first = cut(
-        buckets.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(),
+        buckets.where("node <> lead")
+        .select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
+        .distinct(),
         "dedup-pairs",
     )
     links = cut(verified(documents, first, k, percent), "dedup-links")
     groups = cut(components(links), "dedup-groups")
-    rest = cut(_across(buckets, groups).join(first, ["a", "b"], "left_anti"), "dedup-pairs")
+    parity = reps.select("node", F.col("n_shingles").alias("n"), "parity")
+    rest = cut(pairs_across(buckets, groups, parity, percent), "dedup-pairs")
     if not rest.isEmpty():
         more = cut(verified(documents, rest, k, percent), "dedup-links")
-        if not more.isEmpty():
-            groups = cut(components(links.union(more)), "dedup-groups")
+        groups = cut(components(links.union(more)), "dedup-groups")
     named = classes.join(groups, "node", "left").select(
         F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "node").alias("component")
     )
     linked = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") > 0)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return (
-        sk.drop("keys")
+        sk.drop("keys", "parity")
         .join(named, linked, "left")
         .select("doc_id", "n_shingles", component.alias("component_id"))
         .withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
     )
 
 
-def _across(buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) that share a bucket and lie in different components."""
-    rows = (
-        buckets.join(groups, "node", "left")
-        .select("key", "node", F.coalesce("component", "node").alias("component"))
-        .distinct()
-    )
-    rows = cut(rows, "dedup-rows")
-    count = rows.groupBy("key", "component").count()
-    most = count.groupBy("key").agg(
-        F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("n")
-    ).where("n > 1").select("key", F.col("top.component").alias("top"))
-    mixed = rows.join(most, "key")
-    few = mixed.where("component <> top").select("key", F.col("node").alias("x"), F.col("component").alias("cx"))
-    every = mixed.select("key", F.col("node").alias("y"), F.col("component").alias("cy"))
-    return (
-        few.join(every, "key")
-        .where("cx <> cy and x <> y")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
-
-
 def filter_documents(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of documents, all columns, without the near duplicates."""
     gone = near_duplicates(documents, k, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
