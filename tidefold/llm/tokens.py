@@ -34,7 +34,7 @@ class WordEncoder(dict):
 
     _shared: ClassVar[dict[str, WordEncoder]] = {}
 
-    def __init__(self, path: str, most: int = 400_000, most_words: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 120_000, most_words: int = 250_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
