@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, neardup, packing, quality, urlmodel, warc
+from . import hnsw, licenses, mixing, neardup, packing, quality, urlmodel, warc
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlmodel.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_minhash_dedup": op2_minhash_dedup,
         "op3_warc": op3_warc,
         "op4_url_filters": op4_url_filters,
+        "op5_nearest_neighbours": op5_nearest_neighbours,
         "op7_license_scan": op7_license_scan,
         "op9_packing": op9_packing,
         "op10_mixing": op10_mixing,
