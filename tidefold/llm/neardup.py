@@ -234,6 +234,5 @@ def near_duplicates(
 
 def filter_documents(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of documents, all columns, without the near duplicates."""
-    gone = near_duplicates(documents, k, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    gone = cut(gone, "dedup-gone")
-    return documents.join(small_side(gone), F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = near_duplicates(documents, k, percent).where("not kept").select("doc_id").distinct()
+    return documents.join(small_side(cut(gone, "dedup-gone")), "doc_id", "left_anti").select(*documents.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hnsw, licenses, mixing, neardup, packing, quality, urlmodel, warc
+from . import attribution, hnsw, licenses, lmscore, mixing, neardup, packing, quality, urlmodel, warc
 from .common import table
 
 
@@ -35,10 +35,21 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as good and not toxic; background: all documents."""
+    documents = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return lmscore.score(documents, lmscore.fit(documents, good))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -54,7 +65,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_url_filters": op4_url_filters,
         "op5_nearest_neighbours": op5_nearest_neighbours,
+        "op6_token_counts": op6_token_counts,
         "op7_license_scan": op7_license_scan,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_packing": op9_packing,
         "op10_mixing": op10_mixing,
         "pipeline": corpus_pipeline.run,
