@@ -113,9 +113,9 @@ def kv_secondary_index(spark, d):
     return _index(spark, d).drop("ns")
 
 
-@query(_INDEX + "SELECT key FROM i WHERE fv = '7'")
+@query(_INDEX + "SELECT key FROM i WHERE fv = '69'")
 def kv_by_index(spark, d):
-    return secidx.by_index(_index(spark, d), "k", "7").select("key")
+    return secidx.by_index(_index(spark, d), "k", "69").select("key")
 
 
 @query(_INDEX + "SELECT fv, key FROM i WHERE fv >= '5'")
