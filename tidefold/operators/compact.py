@@ -16,8 +16,8 @@ def compacted(ops: DataFrame, now_ms: int, policy: str = "lww", mode: str = "mer
     """ns, key, hlc, replica, value, expires_at, tag, seq: retained live versions in key order, then
     a tombstone for each deleted key that has none; seq starts again at 1 in every namespace.
 
-    The new seq is a running number along each namespace, in two levels: rows are range-split by the
-    first byte of the key's hash-free prefix, so no namespace is sorted in one task.
+    The new seq is a running number along each namespace, taken in two levels (see `renumbered`), so
+    no namespace is sorted in one task.
     """
     kept = fold.lww(ops, mode) if policy == "lww" else fold.register_versions(ops, mode)
     kept = kept.where(fold.live(now_ms)).select(

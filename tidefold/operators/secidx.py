@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def field_text(value: Column, field: str) -> Column:
     """The canonical text of a top-level scalar field; null where there is none. JVM-side, for values
-    that are objects; duplicates of a member resolve to the first."""
+    that are objects; text after the object is not noticed. `strict_field` parses the whole document."""
     kind = F.schema_of_variant(F.try_parse_json(value))
     name = field.replace("'", "\\'")
     got = F.get_json_object(value, f"$['{name}']")

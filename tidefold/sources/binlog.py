@@ -123,7 +123,7 @@ def read_log(spark: SparkSession, path: str, torn_tail: bool = True) -> DataFram
         pdf = pdf.sort_values("segment")
         if list(pdf["segment"]) != list(range(len(pdf))):
             raise Corrupt("a segment is missing")
-        rows = [dict.fromkeys(columns) | r for r in decode_segments(list(pdf["content"]), torn_tail)]
+        rows = [dict.fromkeys(columns) | {"hlc": 0, "expires_at": 0} | r for r in decode_segments(list(pdf["content"]), torn_tail)]
         return pd.DataFrame(rows, columns=columns).assign(ns=bytes.fromhex(key[0]).decode())
 
     return named.groupBy("folder").applyInPandas(decode, RECORDS)
@@ -147,4 +147,6 @@ def encode_log(log: DataFrame) -> DataFrame:
             out.append(bytes(held))
         return pd.DataFrame({"ns": key[0], "segment": range(len(out)), "content": out})
 
-    return log.groupBy("ns").applyInPandas(encode, "ns string, segment int, content binary")
+    # a batch has no clock of its own; nulls would turn the 64-bit columns of a group into doubles
+    whole = log.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("hlc", "expires_at")})
+    return whole.groupBy("ns").applyInPandas(encode, "ns string, segment int, content binary")
