@@ -120,7 +120,7 @@ def schedule(
     weights: tuple[int, ...] = WEIGHTS,
     share: float = 1.5,
     most: float = 2.0,
-    slot_documents: int = 20_000,
+    slot_documents: int = 4_000,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and virtual_finish (of the first lap).
 
@@ -150,7 +150,7 @@ def materialise(
     weights: tuple[int, ...] = WEIGHTS,
     share: float = 1.5,
     most: float = 2.0,
-    slot_documents: int = 20_000,
+    slot_documents: int = 4_000,
 ) -> DataFrame:
     """The mix itself: whole rows of documents, repeated by lap, in the global order.
 
