@@ -72,3 +72,36 @@ def test_target_documents_score_lower(spark):
     quality = {r.doc_id: r.quality for r in labels.collect()}
     good, bad = ([rows[i] for i, q in quality.items() if q == v] for v in (1, 0))
     assert np.mean([g < b for g in good for b in bad]) > 0.85
+
+
+def test_grams_are_counted_exactly(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(32, 127, 2000))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = [Counter(), Counter()]
+    for i, t in enumerate(texts):
+        for k in range(3, len(t)):
+            for n in (3, 4):
+                want[1][t[k + 1 - n : k + 1]] += 1
+                want[0][t[k + 1 - n : k + 1]] += i < 20
+    model = lmscore.fit(docs, docs.where("doc_id < 20").select("doc_id"), most_grams=3000)
+    rows = spark.read.parquet(model.table).where(f"gram >= {lmscore.BUCKETS}").collect()
+    assert len(rows) == len(want[1]) > 100_000
+
+    def gram(r):
+        n, size = (r.gram - lmscore.AT3, 3) if r.gram < lmscore.AT4 else (r.gram - lmscore.AT4, 4)
+        return n.to_bytes(size, "big").decode()
+
+    assert all((r.target, r.background) == (want[0][gram(r)], want[1][gram(r)]) for r in rows)
+    total = [Counter(t[k] for t in ts for k in range(3, len(t))) for ts in (texts[:20], texts)]
+    two = [Counter(t[k - 1 : k + 1] for t in ts for k in range(3, len(t))) for ts in (texts[:20], texts)]
+    loss = 0.0
+    t = texts[0]
+    for k in range(3, len(t)):
+        p, ctx = 1 / 256, sum(total[1].values())
+        for n, c in enumerate((total[1], two[1], want[1], want[1]), 1):
+            p = (c[t[k + 1 - n : k + 1]] + lmscore.ALPHA * p) / (ctx + lmscore.ALPHA)
+            ctx = c[t[k - n : k]]
+        loss -= math.log(p)
+    got = {r.doc_id: r for r in lmscore.score(docs, model, portion_bytes=5000).collect()}
+    assert len(got) == 60 and got[0].background_loss == pytest.approx(loss / (len(t) - 3), rel=1e-9)

@@ -7,10 +7,14 @@ background counts all documents, the target those of the target set. A document'
 over its bytes of the target loss minus the background loss: the lower, the more it resembles the
 target.
 
-Counts live in a fixed number of buckets: orders 1 and 2 exactly, orders 3 and 4 by a hash, where
-colliding grams add up. Each task counts its texts in one array, Spark adds the arrays up by bucket,
-and the model that the driver hands to the executors is bounded by the number of buckets (about
-1.4 million pairs of numbers) whatever the input is.
+Every gram is counted exactly. Orders 1 and 2 are an array over all their grams; those of orders 3 and 4
+are a table in the shared folder, one row per gram, which grows with the corpus. Each task adds up its
+texts' grams, handing them on whenever it holds many, and Spark adds up the tasks. A scoring task takes
+its documents a portion at a time, finds the portion's distinct grams and streams the table past them, so
+its memory follows the portion and not the table.
+
+A context's count is that of the gram with its bytes, which only counts grams that end at a byte with a
+loss: around the ends of short texts a gram can be more frequent than its context.
 
 Defined results: null text counts as empty; a text of fewer than four bytes has no byte to score, so
 its scores are null; rows with a null or repeated doc_id are counted and scored by themselves; an
@@ -21,46 +25,56 @@ uniform model. Extra columns are ignored; empty input gives empty output.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import cut, map_arrow, text_batches
+from .common import cut, fresh_path, text_batches
 from .neardup import small_side
 
-BITS3, BITS4 = 18, 20
 AT2, AT3 = 256, 256 + (1 << 16)
-AT4 = AT3 + (1 << BITS3)
-BUCKETS = AT4 + (1 << BITS4)
+AT4 = AT3 + (1 << 24)
+#: Grams of orders 1 and 2, whose counts are held as an array.
+BUCKETS = AT3
+#: Distinct grams that a counting task holds before it hands them on.
+MOST_GRAMS = 1 << 21
+#: Bytes of text that a scoring task looks up together.
+PORTION = 1 << 25
 ALPHA = 4.0
 
 RESULT = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
-def _hash(key: np.ndarray, bits: int) -> np.ndarray:
-    key = key * np.uint32(0x9E3779B1)
-    key ^= key >> np.uint32(15)
-    return ((key * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)).astype(np.int64)
+@dataclass
+class Model:
+    """low: a broadcast array (2 x BUCKETS: target, background); table: folder of the counts of the
+    grams of orders 3 and 4 (gram, target, background)."""
+
+    low: Broadcast
+    table: str
 
 
 def grams(d: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Buckets of the grams of order 1 to 4 that end at each byte from the fourth on."""
-    x = d.astype(np.uint32)
-    g2 = x[2:-1] << np.uint32(8) | x[3:]
-    g3 = x[1:-2] << np.uint32(16) | g2
-    g4 = x[:-3] << np.uint32(24) | g3
-    return x[3:].astype(np.int64), g2.astype(np.int64) + AT2, _hash(g3, BITS3) + AT3, _hash(g4, BITS4) + AT4
+    """The grams of order 1 to 4 that end at each byte from the fourth on, each with a number of its own."""
+    x = d.astype(np.int64)
+    g2 = x[2:-1] << 8 | x[3:]
+    g3 = x[1:-2] << 16 | g2
+    g4 = x[:-3] << 24 | g3
+    return x[3:], g2 + AT2, g3 + AT3, g4 + AT4
 
 
-def contexts(d: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Buckets of the contexts of the grams of order 2 to 4."""
-    x = d.astype(np.uint32)
-    c2 = x[1:-2] << np.uint32(8) | x[2:-1]
-    c3 = x[:-3] << np.uint32(16) | c2
-    return x[2:-1].astype(np.int64), c2.astype(np.int64) + AT2, _hash(c3, BITS3) + AT3
+def triples(d: np.ndarray) -> np.ndarray:
+    """The grams of order 3 that end at each byte from the third on: of two
+    neighbours the first is the context of the gram of order 4 that ends with the second."""
+    x = d.astype(np.int64)
+    return (x[:-2] << 16 | x[1:-1] << 8 | x[2:]) + AT3
 
 
 def blocks(s: tv.Slice) -> Iterator[tuple[np.ndarray, int]]:
@@ -80,11 +94,26 @@ def _scored(s: tv.Slice) -> np.ndarray:
     return ok[3:]
 
 
-def count(texts: DataFrame) -> DataFrame:
-    """bucket, target, background: gram counts of texts (text, is_target) over all tasks."""
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+    """One part with each gram once, its counts added up."""
+    gram, target, background = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(gram, kind="stable")
+    gram = gram[order]
+    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    return [(gram[first], np.add.reduceat(target[order], first), np.add.reduceat(background[order], first))]
+
+
+def count(texts: DataFrame, most_grams: int = MOST_GRAMS) -> DataFrame:
+    """gram, target, background: exact gram counts of texts (text, is_target) over all tasks."""
+
+    def batches_of(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for a in range(0, len(part[0]), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 18)]) for x in part], ["gram", "target", "background"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), np.int64)
+        low = np.zeros((2, BUCKETS), np.int64)
+        parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             flags = np.array(batch.column("is_target").to_pylist(), bool)
             for s in tv.slices(batch.column("text")):
@@ -93,50 +122,90 @@ def count(texts: DataFrame) -> DataFrame:
                 for d, a in blocks(s):
                     use = ok[a : a + len(d) - 3]
                     aim = wanted[a : a + len(d) - 3] & use
-                    for g in grams(d):
-                        np.add.at(total[1], g[use], 1)
-                        np.add.at(total[0], g[aim], 1)
-        for a in range(0, BUCKETS, 1 << 18):
-            part = total[:, a : a + (1 << 18)]
-            full = np.flatnonzero(part[1])
-            if len(full):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full + a), pa.array(part[0, full]), pa.array(part[1, full])],
-                    ["bucket", "target", "background"],
-                )
+                    every = grams(d)
+                    for g in every[:2]:
+                        low[1] += np.bincount(g[use], minlength=BUCKETS)
+                        low[0] += np.bincount(g[aim], minlength=BUCKETS)
+                    for g in every[2:]:
+                        both, n = np.unique((g << 1 | aim)[use], return_counts=True)
+                        parts.append((both >> 1, n * (both & 1), n))
+                    if sum(len(p[0]) for p in parts) >= 2 * most_grams:
+                        parts = _merged(parts)
+                        if len(parts[0][0]) >= most_grams:
+                            yield from batches_of(parts)
+                            parts = []
+        full = np.flatnonzero(low[1])
+        yield from batches_of([(full, low[0, full], low[1, full])])
+        if parts:
+            yield from batches_of(_merged(parts))
 
     text_batches(texts.sparkSession)
-    partial = texts.mapInArrow(run, "bucket long, target long, background long")
-    return partial.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    partial = texts.mapInArrow(run, "gram long, target long, background long")
+    return partial.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
-def fit(documents: DataFrame, targets: DataFrame):
-    """A broadcast array (2 x BUCKETS: target, background). targets: doc_id of the target set."""
+def fit(documents: DataFrame, targets: DataFrame, most_grams: int = MOST_GRAMS) -> Model:
+    """The counts of both models. targets: doc_id of the target set."""
+    spark = documents.sparkSession
     ids = cut(targets.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("t")).distinct(), "lm-targets")
     docs = documents.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text"))
     texts = docs.join(small_side(ids), F.col("d") == F.col("t"), "left").select(
         "text", F.col("t").isNotNull().alias("is_target")
     )
-    table = count(texts).toArrow()  # at most BUCKETS rows of three numbers
-    model = np.zeros((2, BUCKETS), np.float32)
-    at = table.column("bucket").to_numpy()
-    model[0, at], model[1, at] = table.column("target").to_numpy(), table.column("background").to_numpy()
-    return documents.sparkSession.sparkContext.broadcast(model)
-
-
-def losses(d: np.ndarray, model: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
-    """-log p of each byte from the fourth on."""
-    p = np.full(len(d) - 3, 1 / 256)
-    total = np.full(len(d) - 3, model[:256].sum(), np.float64)
-    for g, c in zip(grams(d), (None, *contexts(d)), strict=True):
-        p = (model[g] + alpha * p) / ((total if c is None else model[c]) + alpha)
+    path = fresh_path(spark, "lm-grams")
+    count(texts, most_grams).write.parquet(path)
+    counts = spark.read.schema("gram long, target long, background long").parquet(path)
+    table = counts.where(F.col("gram") < BUCKETS).toArrow()  # at most BUCKETS rows of three numbers
+    low = np.zeros((2, BUCKETS))
+    at = table.column("gram").to_numpy()
+    low[0, at], low[1, at] = table.column("target").to_numpy(), table.column("background").to_numpy()
+    return Model(spark.sparkContext.broadcast(low), path)
+
+
+def looked_up(path: str, wanted: np.ndarray) -> np.ndarray:
+    """Counts (2 x grams: target, background) of the sorted distinct grams `wanted`, 0 where the table has
+    none. The table goes by in batches."""
+    out = np.zeros((2, len(wanted)))
+    fs, at = pafs.FileSystem.from_uri(path)
+    names = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.path.endswith(".parquet"))
+    for name in names if len(wanted) else []:
+        with fs.open_input_file(name) as file:
+            for batch in pq.ParquetFile(file).iter_batches(1 << 18):
+                gram, *values = (c.to_numpy() for c in batch.columns)
+                place = np.minimum(np.searchsorted(wanted, gram), len(wanted) - 1)
+                hit = wanted[place] == gram
+                for i in range(2):
+                    out[i, place[hit]] = values[i][hit]
+    return out
+
+
+def losses(
+    d: np.ndarray, low: np.ndarray, high: tuple[np.ndarray, np.ndarray] | None = None, alpha: float = ALPHA
+) -> np.ndarray:
+    """-log p of each byte from the fourth on. low: counts of orders 1 and 2; high: counts of the triples
+    and of the grams of order 4 of d; without it the model ends at order 2."""
+    g1, g2, *_ = grams(d)
+    p = (low[g1] + alpha / 256) / (low[:256].sum() + alpha)
+    p = (low[g2] + alpha * p) / (low[d[2:-1]] + alpha)
+    if high is not None:
+        p = (high[0][1:] + alpha * p) / (low[AT2 + (d[1:-2].astype(np.int64) << 8 | d[2:-1])] + alpha)
+        p = (high[1] + alpha * p) / (high[0][:-1] + alpha)
     return -np.log(p)
 
 
-def score(documents: DataFrame, model) -> DataFrame:
-    """Mean losses of both models and their difference for every document."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _score_portion(portion: list[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    parts: tuple[list, list] = ([], [])
+    for batch in portion:
+        for s in tv.slices(batch.column("text")):
+            for d, _ in blocks(s):
+                for part, g in zip(parts, (triples(d), grams(d)[3]), strict=True):
+                    part.append(np.unique(g))
+                    if sum(map(len, part)) >= 2 * MOST_GRAMS:
+                        part[:] = [np.unique(np.concatenate(part))]
+    three, four = (np.unique(np.concatenate([np.zeros(0, np.int64), *part])) for part in parts)
+    wanted = np.concatenate([three, four])  # every gram of order 4 has a higher number
+    counts = looked_up(model.table, wanted)
+    for batch in portion:
         n, sums = [], []
         for s in tv.slices(batch.column("text")):
             loss = np.zeros((2, s.n))
@@ -145,17 +214,35 @@ def score(documents: DataFrame, model) -> DataFrame:
             for d, a in blocks(s):
                 use = ok[a : a + len(d) - 3]
                 own = text_of[a : a + len(d) - 3][use]
+                at3, at4 = np.searchsorted(three, triples(d)), len(three) + np.searchsorted(four, grams(d)[3])
                 for i in range(2):
-                    loss[i] += np.bincount(own, losses(d, model.value[i])[use], s.n)
+                    loss[i] += np.bincount(own, losses(d, model.low.value[i], (counts[i, at3], counts[i, at4]))[use], s.n)
             n.append(np.maximum(0, np.diff(s.bounds) - 3))
             sums.append(loss)
         n, sums = np.concatenate(n), np.concatenate(sums, axis=1)
         none = n == 0
         t, b = (np.divide(x, n, out=np.zeros(len(n)), where=~none) for x in sums)
-        return pa.RecordBatch.from_arrays(
+        yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(n), *(pa.array(x, mask=none) for x in (t, b, t - b))],
             [x.split()[0] for x in RESULT.split(", ")],
         )
 
+
+def score(documents: DataFrame, model: Model, portion_bytes: int = PORTION) -> DataFrame:
+    """Mean losses of both models and their difference for every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        portion, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                portion.append(batch)
+                size += batch.nbytes
+            if size >= portion_bytes:
+                yield from _score_portion(portion, model)
+                portion, size = [], 0
+        if portion:
+            yield from _score_portion(portion, model)
+
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(docs, run, RESULT)
+    text_batches(documents.sparkSession)
+    return docs.mapInArrow(run, RESULT)
