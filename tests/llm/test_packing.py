@@ -96,3 +96,19 @@ def test_small_memories_change_nothing(most):
     e = WordEncoder(PATH, most=most, most_words=most)
     text = "The cat, the dog; the cat! été, l'été. " * 5
     assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_step_groups_span_partitions_and_flushes(spark):
+    docs = spark.range(1200).selectExpr("id as doc_id", "repeat('word ', 10 + cast(id * 37 % 700 as int)) as text").repartition(6)
+    rows = packing.pack(docs, shard_tokens=20_000, group_tokens=1 << 14).collect()
+    sizes = {r.sequence_id: r.tier for r in rows}
+    groups = {r.sequence_id: r.step_group for r in rows}
+    assert all(groups[r.sequence_id] == r.step_group for r in rows)
+    total = Counter()
+    for i, g in groups.items():
+        total[g] += sizes[i]
+    n = round(sum(total.values()) / (1 << 14))
+    assert len({i >> 40 for i in sizes}) == 6 and n > 12
+    assert sorted(total) == list(range(n)) and max(total.values()) - min(total.values()) <= 4096
+    order = sorted(sizes)
+    assert [groups[i] for i in order] == packing.step_groups([sizes[i] for i in order], 1 << 14)

@@ -1,8 +1,8 @@
 """Hierarchical multi-length packing of documents into training sequences.
 
 Documents are tokenised and packed inside the task that reads them, in shards of about
-`shard_tokens` tokens, so no text and no token is shuffled and each task's memory is bounded. In a
-shard:
+`shard_tokens` tokens, so no text and no token is shuffled and each task's memory is bounded. Steps 1
+to 4 work on a shard, step 5 on the whole table:
 
 1. routing: each document goes to the smallest context tier (256, 512, 1024 or 2048) that holds it;
    what exceeds the longest tier is first cut off in full windows of that tier;
@@ -11,8 +11,9 @@ shard:
    piece that fits first, and the last filler is cut so that the window is full;
 4. tail: what no full window takes is laid end to end and cut into windows of falling powers of
    two, which need no padding;
-5. step groups: sequences are dealt to groups, largest first and back and forth, so that the groups
-   of a shard have nearly equal numbers of tokens.
+5. step groups: the sequences of all shards are dealt to groups, largest first and back and forth,
+   so that all groups have nearly equal numbers of tokens. A sequence's place in that order comes from
+   sums over one row per shard and size, which are joined back to the pieces.
 
 Defined results: null text counts as empty and gives the end id alone; rows that repeat a doc_id or
 have none are packed as documents of their own; empty input gives no piece; the place of a shard in
@@ -23,16 +24,17 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right, insort
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import cut, text_batches
+from .neardup import small_side
 from .tokens import WordEncoder, tokenizer_path
 
 TIERS = (256, 512, 1024, 2048)
@@ -42,6 +44,7 @@ RESULT = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
     "offset long, tier long, step_group long"
 )
+PIECES = RESULT.replace("step_group long", "shard long, nth long")
 
 
 class _Pool:
@@ -133,7 +136,8 @@ def plan(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int,
 
 
 def step_groups(sizes: list[int], group_tokens: int) -> list[int]:
-    """Group of each sequence; groups of a shard get nearly equal numbers of tokens."""
+    """Group of each of a list of sequences; groups get nearly equal numbers of tokens. `grouped` does
+    the same over a table."""
     n = max(1, round(sum(sizes) / group_tokens))
     groups = [0] * len(sizes)
     for place, i in enumerate(sorted(range(len(sizes)), key=lambda i: -sizes[i])):
@@ -142,6 +146,39 @@ def step_groups(sizes: list[int], group_tokens: int) -> list[int]:
     return groups
 
 
+def grouped(pieces: DataFrame, group_tokens: int) -> DataFrame:
+    """RESULT of pieces that have shard (number of the shard in its partition) and nth (among the
+    sequences of its size in its shard) in place of step_group."""
+    shard = (F.shiftright("sequence_id", 40), "shard", "tier")
+    counts = cut(
+        pieces.where("offset = 0").groupBy(shard[0].alias("partition"), *shard[1:]).count(), "packing-sizes"
+    )
+    sizes = counts.groupBy("tier").agg(F.sum("count").alias("all")).collect()  # a size is a tier or a power of two
+    n = max(1, round(sum(r.tier * r["all"] for r in sizes) / group_tokens))
+    larger = {r.tier: sum(x["all"] for x in sizes if x.tier > r.tier) for r in sizes}
+    # two-level sums: within a partition, then over partitions
+    own = Window.partitionBy("tier", "partition").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy("tier").orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("tier", "partition").agg(F.sum("count").alias("held"))
+    before = parts.select("tier", "partition", F.coalesce(F.sum("held").over(along), F.lit(0)).alias("earlier"))
+    first = F.lit(0).cast("long")
+    for size, count in larger.items():
+        first = F.when(F.col("tier") == size, F.lit(count).cast("long")).otherwise(first)
+    starts = counts.withColumn("inside", F.coalesce(F.sum("count").over(own), F.lit(0))).join(before, ["tier", "partition"])
+    starts = cut(
+        starts.select("tier", "partition", "shard", (first + F.col("earlier") + F.col("inside")).alias("base")), "packing-starts"
+    )
+    place = F.col("base") + F.col("nth")
+    at = place % n
+    group = F.when(((place - at) / n) % 2 == 0, at).otherwise(n - 1 - at)
+    return (
+        pieces.withColumn("partition", shard[0])
+        .join(small_side(starts), ["tier", "partition", "shard"])
+        .withColumn("step_group", group.cast("long"))
+        .select(*(x.split()[0] for x in RESULT.split(", ")))
+    )
+
+
 def pack(
     documents: DataFrame,
     tokenizer: str | None = None,
@@ -157,23 +194,25 @@ def pack(
         base = TaskContext.get().partitionId() << 40
         ids: list[int | None] = []
         packed: list[bytes] = []
-        total = made = 0
+        total = made = shard = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal ids, packed, total, made
+            nonlocal ids, packed, total, made, shard
             lengths = [len(p) // 4 for p in packed]
             sequences = plan(lengths, tiers)
-            groups = step_groups([t for t, _ in sequences], group_tokens)
             rows = []
-            for (tier, pieces), group in zip(sequences, groups, strict=True):
-                offset = 0
+            of_size: Counter = Counter()
+            for tier, pieces in sequences:
+                offset, nth = 0, of_size[tier]
                 for doc, at, n in pieces:
                     crc = zlib.crc32(memoryview(packed[doc])[4 * at : 4 * (at + n)])
-                    rows.append((ids[doc], at, n, crc, lengths[doc], base + made, offset, tier, group))
+                    rows.append((ids[doc], at, n, crc, lengths[doc], base + made, offset, tier, shard, nth))
                     offset += n
                 made += 1
+                of_size[tier] += 1
+            shard += 1
             ids, packed, total = [], [], 0
-            names = [x.split()[0] for x in RESULT.split(", ")]
+            names = [x.split()[0] for x in PIECES.split(", ")]
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names
             )
@@ -189,6 +228,7 @@ def pack(
             yield flush()
 
     text_batches(documents.sparkSession)
-    return documents.select(
+    pieces = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    ).mapInArrow(run, RESULT)
+    ).mapInArrow(run, PIECES)
+    return grouped(cut(pieces, "packing-pieces"), group_tokens)
