@@ -250,6 +250,39 @@ def test_torn_tail_and_damage():
         list(binlog.decode_segments([a + b + c[:-1]], torn_tail=False))
 
 
+def test_segments_are_read_apart_and_written_one_by_one(spark, tmp_path):
+    rows = [(ns, i, 1, b"k%d" % i, i, A, B, b"v" * 900, 0, None) for ns in "nm" for i in range(1, 201)]
+    log = spark.createDataFrame(rows, LOG).repartition(3)
+    made = binlog.encode_log(log, segment_bytes=10_000)
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().toString()
+    files = {}
+    for r in made.collect():
+        folder = tmp_path / "log" / f"1_{r.ns.encode().hex()}"
+        folder.mkdir(parents=True, exist_ok=True)
+        files[r.ns, r.segment] = folder / f"log.{r.segment}.seg"
+        files[r.ns, r.segment].write_bytes(r.content)
+    assert len(files) > 20 and max(f.stat().st_size for f in files.values()) < 12_000
+    back = binlog.read_log(spark, f"file://{tmp_path}/log")
+    assert "FlatMapGroupsInPandas" not in back._jdf.queryExecution().toString()
+    assert sorted((r.ns, r.seq, bytes(r.key), r.hlc) for r in back.collect()) == sorted((r[0], r[1], r[3], r[4]) for r in rows)
+    assert merge.chain_breaks(back).isEmpty()
+    end = files["n", max(k for n, k in files if n == "n")]
+    whole = end.read_bytes()
+    end.write_bytes(whole[:-1] + b"\0")
+    assert binlog.read_log(spark, f"file://{tmp_path}/log").where("ns = 'n'").count() == 199
+    end.write_bytes(whole)
+    middle = files["n", 3]
+    for bad in (middle.read_bytes()[:-1], files["m", 3].read_bytes()[:0], files["n", 2].read_bytes()):
+        kept = middle.read_bytes()
+        middle.write_bytes(bad)
+        with pytest.raises(Exception, match="Corrupt"):
+            binlog.read_log(spark, f"file://{tmp_path}/log").collect()
+        middle.write_bytes(kept)
+    middle.unlink()
+    with pytest.raises(Exception, match="a segment is missing"):
+        binlog.read_log(spark, f"file://{tmp_path}/log").collect()
+
+
 def test_batches_are_verified_as_a_whole(spark):
     prev, rows = b"p" * 32, []
     for i in range(3):

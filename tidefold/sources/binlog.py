@@ -6,8 +6,10 @@ key length (u32), key, hlc (u64), replica (32), author (32), value length (u64),
 with expiry, expires_at (u64); of a batch: count (u32), then tag, length (u32) and payload of each.
 A record's hash is SHA-256 of the previous hash and its bytes.
 
-The chain is sequential within a namespace, so one task decodes one namespace; namespaces are read in
-parallel from any file system that Spark reads.
+Each record carries its previous hash, so segments are read in parallel, from any file system that Spark
+reads: a first pass takes from each segment its number of records and the hashes at its ends, a second
+decodes it knowing where it stands in the chain of its namespace. Writing follows the chain, so one task
+writes a namespace, but it holds one segment at a time.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import BATCH, DEL, LOG, PUT_TTL
@@ -26,6 +28,8 @@ from ..schema import BATCH, DEL, LOG, PUT_TTL
 ZERO = bytes(32)
 HEADER = 41
 SEGMENT = 64 << 20
+#: About the bytes of decoded records that a task hands on together.
+HELD = 8 << 20
 RECORDS = f"{LOG}, prev binary, hash binary"
 
 
@@ -80,32 +84,59 @@ def decode_payload(tag: int, p: bytes) -> dict:
     return {"key": key, "hlc": hlc, "replica": replica, "author": author, "value": value, "expires_at": expires}
 
 
+def walk(data: bytes) -> tuple[int, bytes | None]:
+    """Number of records of a segment without a torn one at its end, and the hash of the last. Only the
+    last record's checksum is looked at."""
+    n = at = 0
+    last = before = None
+    while at + HEADER <= len(data):
+        size = struct.unpack_from("<I", data, at + 1)[0]
+        if at + HEADER + size > len(data):
+            break
+        before, last, n, at = last, (at, at + HEADER + size), n + 1, at + HEADER + size
+    if last and last[1] == len(data):
+        raw = data[slice(*last)]
+        if zlib.crc32(raw[:1] + raw[9:]) != struct.unpack_from("<I", raw, 5)[0]:
+            n, last = n - 1, before
+    if not last:
+        return 0, None
+    raw = data[slice(*last)]
+    return n, chain_hash(raw[9:HEADER], raw)
+
+
+def decode_segment(data: bytes, prev: bytes, seq: int, last: bool, torn_tail: bool = True) -> Iterator[dict]:
+    """Records of a segment that follows the record of number seq and hash prev. A last record that is
+    cut off or fails its checksum is dropped if it ends the last segment and torn_tail is set; anything
+    else unsound raises Corrupt."""
+    at = 0
+    while at < len(data):
+        if at + HEADER > len(data):
+            if last and torn_tail:
+                return
+            raise Corrupt("record is cut off")
+        tag, size, crc = struct.unpack_from("<BII", data, at)
+        if not 1 <= tag <= 6:
+            raise Corrupt(f"tag {tag}")
+        raw = data[at : at + HEADER + size]
+        ends = at + HEADER + size >= len(data)
+        if len(raw) < HEADER + size or zlib.crc32(raw[:1] + raw[9:]) != crc:
+            if last and ends and torn_tail:
+                return
+            raise Corrupt("checksum")
+        if raw[9:HEADER] != prev:
+            raise Corrupt("chain")
+        own, seq = chain_hash(prev, raw), seq + 1
+        yield {"seq": seq, "tag": tag, "prev": prev, "hash": own} | decode_payload(tag, raw[HEADER:])
+        prev, at = own, at + len(raw)
+
+
 def decode_segments(segments: list[bytes], torn_tail: bool = True) -> Iterator[dict]:
-    """Records of a namespace in order. A last record that is cut off or fails its checksum is dropped
-    if it ends the last segment and torn_tail is set; anything else unsound raises Corrupt."""
+    """Records of a namespace in order, see decode_segment."""
     prev, seq = ZERO, 0
     for i, data in enumerate(segments):
-        at = 0
-        while at < len(data):
-            last = i == len(segments) - 1
-            if at + HEADER > len(data):
-                if last and torn_tail:
-                    return
-                raise Corrupt("record is cut off")
-            tag, size, crc = struct.unpack_from("<BII", data, at)
-            if not 1 <= tag <= 6:
-                raise Corrupt(f"tag {tag}")
-            raw = data[at : at + HEADER + size]
-            ends = at + HEADER + size >= len(data)
-            if len(raw) < HEADER + size or zlib.crc32(raw[:1] + raw[9:]) != crc:
-                if last and ends and torn_tail:
-                    return
-                raise Corrupt("checksum")
-            if raw[9:HEADER] != prev:
-                raise Corrupt("chain")
-            own, seq = chain_hash(prev, raw), seq + 1
-            yield {"seq": seq, "tag": tag, "prev": prev, "hash": own} | decode_payload(tag, raw[HEADER:])
-            prev, at = own, at + len(raw)
+        for r in decode_segment(data, prev, seq, i == len(segments) - 1, torn_tail):
+            prev, seq = r["hash"], r["seq"]
+            yield r
 
 
 def read_log(spark: SparkSession, path: str, torn_tail: bool = True) -> DataFrame:
@@ -119,34 +150,67 @@ def read_log(spark: SparkSession, path: str, torn_tail: bool = True) -> DataFram
     )
     columns = [c.split()[0] for c in RECORDS.split(", ")]
 
-    def decode(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("segment")
-        if list(pdf["segment"]) != list(range(len(pdf))):
-            raise Corrupt("a segment is missing")
-        rows = [dict.fromkeys(columns) | {"hlc": 0, "expires_at": 0} | r for r in decode_segments(list(pdf["content"]), torn_tail)]
-        return pd.DataFrame(rows, columns=columns).assign(ns=bytes.fromhex(key[0]).decode())
-
-    return named.groupBy("folder").applyInPandas(decode, RECORDS)
-
+    def survey(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            n, own = zip(*(walk(bytes(x)) for x in pdf["content"]), strict=True) if len(pdf) else ((), ())
+            yield pdf[["folder", "segment"]].assign(n=list(n), own=list(own))
+
+    order = Window.partitionBy("folder").orderBy("segment")
+    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
+    ends = named.mapInPandas(survey, "folder string, segment int, n long, own binary").select(
+        "folder",
+        "segment",
+        F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("seq"),
+        F.coalesce(F.last("own", ignorenulls=True).over(ahead), F.lit(ZERO)).alias("before"),
+        F.lead("segment").over(order).isNull().alias("last"),
+        (F.row_number().over(order) - 1).alias("place"),
+    )
 
-def encode_log(log: DataFrame) -> DataFrame:
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for x in pdf.itertuples():
+                if x.segment != x.place:
+                    raise Corrupt("a segment is missing")
+                ns, rows, size = bytes.fromhex(x.folder).decode(), [], 0
+                for r in decode_segment(bytes(x.content), bytes(x.before), x.seq, x.last, torn_tail):
+                    rows.append(dict.fromkeys(columns) | {"hlc": 0, "expires_at": 0} | r)
+                    size += len(r.get("value") or b"") + 1000 * len(r.get("ops", "1"))
+                    if size >= HELD:
+                        yield pd.DataFrame(rows, columns=columns).assign(ns=ns)
+                        rows, size = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns).assign(ns=ns)
+
+    # one small row per segment; its content stays where it is read
+    return named.join(F.broadcast(ends), ["folder", "segment"]).mapInPandas(decode, RECORDS)
+
+
+def encode_log(log: DataFrame, segment_bytes: int = SEGMENT) -> DataFrame:
     """ns, segment, content: the segments of a log, chained in seq order; a segment ends once it holds
-    64 MiB. The result can be written file by file on any store."""
-
-    def encode(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        prev, out, held = ZERO, [], bytearray()
-        for r in pdf.sort_values("seq").to_dict("records"):
-            ops = r["ops"] if r["tag"] == BATCH else None
-            raw = frame(r["tag"], encode_payload(r["tag"], r["key"], r["hlc"], r["replica"], r["author"], r["value"], r["expires_at"], ops), prev)
-            prev = chain_hash(prev, raw)
-            held += raw
-            if len(held) >= SEGMENT:
-                out.append(bytes(held))
-                held = bytearray()
-        if held or not out:
-            out.append(bytes(held))
-        return pd.DataFrame({"ns": key[0], "segment": range(len(out)), "content": out})
-
-    # a batch has no clock of its own; nulls would turn the 64-bit columns of a group into doubles
+    segment_bytes. The result can be written file by file on any store."""
+
+    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ns, prev, number, held = None, ZERO, 0, bytearray()
+
+        def ended() -> pd.DataFrame:
+            return pd.DataFrame({"ns": [ns], "segment": [number], "content": [bytes(held)]})
+
+        for pdf in frames:
+            for r in pdf.to_dict("records"):
+                if r["ns"] != ns:
+                    if held:
+                        yield ended()
+                    ns, prev, number, held = r["ns"], ZERO, 0, bytearray()
+                ops = r["ops"] if r["tag"] == BATCH else None
+                raw = frame(r["tag"], encode_payload(r["tag"], r["key"], r["hlc"], r["replica"], r["author"], r["value"], r["expires_at"], ops), prev)
+                prev = chain_hash(prev, raw)
+                held += raw
+                if len(held) >= segment_bytes:
+                    yield ended()
+                    number, held = number + 1, bytearray()
+        if held:
+            yield ended()
+
+    # a batch has no clock of its own; nulls would turn the 64-bit columns of a frame into doubles
     whole = log.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("hlc", "expires_at")})
-    return whole.groupBy("ns").applyInPandas(encode, "ns string, segment int, content binary")
+    return whole.repartition("ns").sortWithinPartitions("ns", "seq").mapInPandas(encode, "ns string, segment int, content binary")
