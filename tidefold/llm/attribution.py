@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import map_batches
 from .tokens import tokenizer_path
 
 RESULT = "doc_id long, section string, n_chars long, n_tokens long, n_crossing long, doc_tokens long"
@@ -58,9 +58,12 @@ class ByteEncoder:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
+    def ids(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, disallowed_special=())
+
     def ends(self, text: str) -> np.ndarray:
         """The byte at which each token of the whole text ends."""
-        return np.cumsum(self.length[self.encoding.encode_ordinary(text)])
+        return np.cumsum(self.length[self.ids(text)])
 
 
 def line_sections(text: Column) -> Column:
@@ -154,5 +157,4 @@ def token_counts(
                     [pa.array(x, y) for x, y in zip(zip(*rows, strict=True), types, strict=True)], names
                 )
 
-    text_batches(documents.sparkSession)
-    return picked.mapInArrow(run, RESULT)
+    return map_batches(picked, run, RESULT)

@@ -2,61 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows per Arrow batch for operators that hold whole texts; keeps a batch of long texts small.
-TEXT_ROWS = 1000
+from ..shared import cut, discard, fresh_path, stored
 
+__all__ = ["cut", "discard", "fresh_path", "map_arrow", "map_batches", "small_side", "stored", "table"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one of
-    our own where that is unset (single-machine tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "tidefold.shared.dir", None
-    )
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tidefold-')}"
-        spark.conf.set("tidefold.shared.dir", base)
-    return base
+#: Bytes of an Arrow batch, in every operator: texts differ in length by orders of magnitude.
+BATCH_BYTES = "4m"
+#: Rows that may be broadcast (16 MB of ids); beyond, joins are left to shuffle.
+MOST_BROADCAST = 1_000_000
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: the lineage ends there, each
-    executor can read it, and a lost executor costs only a re-read."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Bound the rows of an Arrow batch, since texts differ in length by orders of magnitude."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_side(rows: DataFrame) -> DataFrame:
+    """Rows of a few numbers or a short text, with a broadcast hint if they are few by count."""
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
 
 
-def map_arrow(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
+def map_batches(
+    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """Apply fn to each Arrow batch; Spark partitions the work."""
+    """mapInArrow over batches that hold rows. Their size is a setting of the session, the same in
+    all operators."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(lambda batches: fn(b for b in batches if b.num_rows), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None:
-                    yield out
 
-    text_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """Apply fn to each batch; Spark partitions the work."""
+    return map_batches(df, lambda batches: map(fn, batches), schema)

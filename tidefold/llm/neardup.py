@@ -32,14 +32,12 @@ from pyspark.sql import functions as F
 
 from . import superminhash as smh
 from . import textvec as tv
-from .common import cut, map_arrow
+from .common import cut, map_arrow, small_side
 from .components import components
 
 BANDS, ROWS = 42, 6
 #: Longs of a parity sketch.
 WORDS = 16
-#: Ids that may be broadcast (16 MB of longs); beyond, joins are left to shuffle.
-MOST_BROADCAST = 1_000_000
 
 
 def shingle_sets(s: tv.Slice, k: int) -> list[np.ndarray]:
@@ -108,11 +106,6 @@ def sketches(documents: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return map_arrow(docs, run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, parity array<long>")
 
 
-def small_side(ids: DataFrame) -> DataFrame:
-    """The ids with a broadcast hint if they are few by count, else as they are."""
-    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
-
-
 def _sets_of(documents: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """node, elements: the full sets of the documents named by ids (node)."""
 

@@ -33,8 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_batches
-from .neardup import small_side
+from .common import cut, map_batches, small_side
 from .tokens import WordEncoder, tokenizer_path
 
 TIERS = (256, 512, 1024, 2048)
@@ -227,8 +226,5 @@ def pack(
         if packed:
             yield flush()
 
-    text_batches(documents.sparkSession)
-    pieces = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    ).mapInArrow(run, PIECES)
-    return grouped(cut(pieces, "packing-pieces"), group_tokens)
+    picked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return grouped(cut(map_batches(picked, run, PIECES), "packing-pieces"), group_tokens)
