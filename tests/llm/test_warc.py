@@ -3,6 +3,7 @@ import hashlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidefold.llm import queries, warc
 from tidefold.llm.common import fresh_path
@@ -53,6 +54,22 @@ def test_odd_rows_round_trip(spark, min_bytes):
     assert warc.read(warc.write(pages.limit(0), fresh_path(spark, "warc-empty")), folder).count() == 0
 
 
+def test_hot_payloads_and_reading_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_ROWS", 20)
+    monkeypatch.setattr(warc, "LEAST_STRETCH", 1000)
+    data = [(i, f"http://x/{i}", "" if i % 3 else f"page {i} " * 50) for i in range(300)] + [(None, None, None)] * 5
+    data += [(i, None, "twice") for i in (400, 401)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    folder = fresh_path(spark, "warc-hot")
+    index = warc.write(pages, folder)
+    back = warc.read(index, folder, payload=False)
+    assert back.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    got = back.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in got}) > 4
+    cols = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert sorted((tuple(r[c] for c in cols) for r in got), key=str) == brute([(p, h) for p, _, h in data])
+
+
 def test_ranges_are_coalesced():
     rows = [{"offset": o, "length": n} for o, n in ((0, 10), (10, 10), (25, 5), (100, 50), (150, 500))]
     assert [(a, b, len(g)) for a, b, g in warc.ranges(rows, 5, 100)] == [(0, 30, 3), (100, 150, 1), (150, 650, 1)]

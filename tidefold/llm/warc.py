@@ -6,9 +6,9 @@ one archive of gzip members (one member per record) in the shared folder and ret
 file, offset, length, URL, digest. Every attempt of a task writes a file of its own, so a retried or
 speculative attempt leaves nothing in the index but its own rows.
 
-Reading: the selected index rows are dealt to tasks by stretches of a file, sorted by offset, and
-neighbours within `gap` bytes are fetched by one read of at most `most` bytes (a longer record is
-read by itself).
+Reading: the selected index rows are dealt to tasks by ranges of (file, offset), as many as their
+bytes in the archives ask for, sorted, and neighbours within `gap` bytes are fetched by one read of
+at most `most` bytes (a longer record is read by itself).
 
 Defined results: null html has an empty payload; a null URL leaves out the target header; rows that
 repeat the largest page_id of a payload are all responses; rows whose page_id is null are responses
@@ -29,10 +29,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, text_batches
+from .common import cut, fresh_path, map_batches
 
-#: Bytes of an archive that one reading task gets.
-STRETCH = 16 << 20
+#: Bytes of archives that one reading task gets: at most the first, and at least the second as long as
+#: that keeps all cores busy.
+STRETCH, LEAST_STRETCH = 64 << 20, 1 << 20
+#: Records of one payload, and their bytes, that may meet in one task.
+HOT_ROWS, HOT_BYTES = 1000, 32 << 20
 NO_SUCH = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public URL name space
 
 INDEX = (
@@ -117,22 +120,36 @@ def decode_record(raw: bytes) -> dict:
 
 
 def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, refers_to. Payloads are compared by SHA-256; only ids and digests are
-    grouped, and page_id spreads the rows of a frequent payload when refers_to is joined back."""
+    """page_id, url, payload, refers_to. Payloads are compared by SHA-256; only digests are grouped.
+
+    A payload is hot if its records are more than HOT_ROWS and a 100,000th of all repeated ones, or
+    hold more than HOT_BYTES and a 100,000th of their bytes. So at most 200,000 are, and those are
+    broadcast. Records of other payloads meet by digest; the hot ones, which have their answer by
+    then, are spread by their page_id."""
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")
     ).withColumn("sha", F.unhex(F.sha2("payload", 256)))
-    names = rows.where(F.octet_length("payload") >= min_bytes).select("page_id", "sha")
-    firsts = names.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = (
-        names.distinct()
-        .join(firsts, "sha")
-        .where("first is not null and (page_id is null or page_id < first)")
-        .select(F.col("page_id").alias("p"), F.col("sha").alias("s"), F.col("first").alias("refers_to"))
+    long_enough = F.octet_length("payload") >= min_bytes
+    firsts = cut(
+        rows.where(long_enough)
+        .groupBy("sha")
+        .agg(F.max("page_id").alias("first"), F.count("*").alias("n"), (F.count("*") * F.max(F.octet_length("payload") + 100)).alias("bytes"))
+        .where("n > 1 and first is not null"),
+        "warc-firsts",
     )
-    return rows.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left").select(
-        "page_id", "url", "payload", "refers_to"
+    n, size = firsts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "bytes")]).first()
+    hot = (F.col("n") > max(HOT_ROWS, n // 100_000)) | (F.col("bytes") > max(HOT_BYTES, size // 100_000))
+    top = firsts.where(hot).select(F.col("sha").alias("hot_sha"), F.col("first").alias("hot_first"))
+    rest = firsts.where(~hot).select(F.col("sha").alias("own_sha"), F.col("first").alias("own_first"))
+    spread = F.unhex(F.md5(F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit(""))))  # never as long as a digest
+    first = F.when(long_enough, F.coalesce("hot_first", "own_first"))
+    later = first.isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < first))
+    return (
+        rows.join(F.broadcast(top), F.col("sha") == F.col("hot_sha"), "left")
+        .withColumn("meet", F.when(F.col("hot_sha").isNull(), F.col("sha")).otherwise(spread))
+        .join(rest, F.col("meet") == F.col("own_sha"), "left")
+        .select("page_id", "url", "payload", F.when(later, first).alias("refers_to"))
     )
 
 
@@ -168,8 +185,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2024-0
             if out is not None:
                 out.close()
 
-    text_batches(spark, 200)
-    index = with_originals(pages, min_bytes).mapInArrow(run, INDEX)
+    index = map_batches(with_originals(pages, min_bytes), run, INDEX)
     index.write.parquet(f"{folder}/index")
     return spark.read.schema(index.schema).parquet(f"{folder}/index")
 
@@ -230,13 +246,15 @@ def read(selected: DataFrame, folder: str, gap: int = 64 << 10, most: int = 8 <<
         if source is not None:
             source.close()
 
-    text_batches(selected.sparkSession, 200)
-    stretch = F.floor(F.col("offset") / STRETCH)
-    return (
+    size = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    cores = selected.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-size // STRETCH), min(-(-size // LEAST_STRETCH), 2 * cores))
+    return map_batches(
         selected.select("file", "offset", "length")
-        .repartition("file", stretch)
-        .sortWithinPartitions("file", "offset")
-        .mapInArrow(run, RECORD)
+        .repartitionByRange(tasks, "file", "offset")
+        .sortWithinPartitions("file", "offset"),
+        run,
+        RECORD,
     )
 
 
