@@ -71,6 +71,23 @@ def test_malformed(text):
         licenses.postfix(text)
 
 
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("MIT. Copyright 2020", "MIT"), ("MIT;", "MIT"), ('MIT",', "MIT"), ("MIT */", "MIT"), ("GPL-2.0+ or later", "GPL-2.0+ or later"),
+        ("MIT OR", "MIT"), ("MIT) x", "MIT"), ("(MIT OR GPL-3.0) see below", "(MIT OR GPL-3.0)"), ("MIT OR (GPL-3.0", "MIT"),
+        ("Apache-2.0 AND MIT is the licence", "Apache-2.0 AND MIT"), ("(MIT", ""), ("* x", ""), ("", ""), ("OR MIT", ""), ("MIT and - x", "MIT"),
+    ],
+)
+def test_longest_expression_of_a_line(line, want):
+    assert licenses.leading(line) == want
+
+
+def test_tags_before_prose_add_labels():
+    for tail in (". Copyright 2020 by no one", '",', ";", " - see LICENSE", "\u00a0and more"):
+        assert licenses.Scanner().scan(f"SPDX-License-Identifier: MIT{tail}")[3] == ["mit"]
+
+
 def test_tags_add_labels():
     text = "x\n// SPDX-License-Identifier: Apache-2.0 OR MIT\nSPDX-License-Identifier: (MIT\nreleased under the mit license"
     n, matches, expressions, labels, duty, score = licenses.Scanner().scan(text)

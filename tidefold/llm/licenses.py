@@ -8,7 +8,8 @@ named, and to the lightest duty a user can choose (or: the lighter side, and: th
 with: one step lighter).
 
 Defined results: null text counts as empty and has no word, match or label (score 0); rows with a
-null or repeated doc_id are scanned like any other; a malformed expression names no licence but
+null or repeated doc_id are scanned like any other; of the line after a tag the longest start that
+is an expression counts, so prose or punctuation may follow; without one the tag names no licence but
 counts as weak evidence. Extra columns are ignored; empty input gives empty output.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import map_batches
 
 #: The base phrases and their labels.
 BASE = {
@@ -88,10 +89,36 @@ _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"\(|\)|[a-z0-9.+:-]+")
 
 
+_PART = re.compile(r"[ \t]*([()]|[A-Za-z0-9.+:-]+)")
+
+
 class ExpressionError(ValueError):
     pass
 
 
+def leading(line: str) -> str:
+    """The longest start of a line that is a whole expression, empty if there is none. It ends at a
+    foreign character, at punctuation after a name, and at a word that cannot continue it."""
+    at = end = depth = 0
+    want_name = True
+    while found := _PART.match(line, at):
+        token = found[1]
+        name = token not in ("(", ")") and token.lower() not in _PRECEDENCE
+        if (token == "(" or name) != want_name or (token == ")" and not depth):
+            break
+        depth += (token == "(") - (token == ")")
+        want_name = token == "(" or not (name or token == ")")
+        bare = token.rstrip(".:-") if name else token
+        if not bare:
+            break
+        at = found.end()
+        if not want_name and not depth:
+            end = found.start(1) + len(bare)
+        if bare != token:
+            break
+    return line[:end]
+
+
 def postfix(text: str) -> list[str]:
     """Shunting-yard: a licence expression in postfix order."""
     text = text.lower()
@@ -192,7 +219,7 @@ class Scanner:
         expressions, duty = [], None
         for raw in _TAG_LINE.findall(text) if tags else []:
             try:
-                code = postfix(raw.strip(" \t*/#->"))
+                code = postfix(leading(raw))
                 named, own = evaluate(code)
             except ExpressionError:
                 doubt *= 0.7
@@ -223,10 +250,8 @@ def scan(documents: DataFrame) -> DataFrame:
                 ["doc_id", "n_words", "matches", "expressions", "labels", "duty", "score"],
             )
 
-    text_batches(documents.sparkSession)
-    return documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    ).mapInArrow(run, RESULT)
+    picked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(picked, run, RESULT)
 
 
 def digest(scanned: DataFrame) -> DataFrame:
