@@ -1,107 +1,109 @@
+import base64
 import math
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 
 from tidefold.llm import lmscore
-from tidefold.llm import textvec as tv
+from tidefold.llm.attribution import ByteEncoder
 
 SF = "/root/testdata/sf0.01"
-
-
-def brute(rows, targets, alpha=lmscore.ALPHA):
-    """The same models with plain dictionaries over gram buckets, and one byte at a time."""
-
-    def bucket(b):
-        x = np.frombuffer(b.rjust(4, b"\0"), np.uint8)
-        return int(lmscore.grams(x)[len(b) - 1][0])
-
-    counts = [Counter(), Counter()]
-    for i, t in rows:
-        b = (t or "").encode()
-        for k in range(3, len(b)):
-            for n in range(1, 5):
-                for m in (0, 1) if i in targets else (1,):
-                    counts[m][bucket(b[k + 1 - n : k + 1])] += 1
+PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+V = 50256
+
+
+@pytest.fixture(scope="module")
+def encode():
+    with open(PATH, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def brute(rows, targets, encode, alpha=4.0):
+    """The same models with dictionaries of token pairs, one token at a time."""
+    texts = [(i, encode(t or "")) for i, t in rows]
+    pairs, ones, contexts = ([Counter(), Counter()] for _ in range(3))
+    for i, ids in texts:
+        for v, w in zip(["start", *ids], ids, strict=False):
+            for m in (0, 1) if i in targets else (1,):
+                pairs[m][v, w] += 1
+                ones[m][w] += 1
+                contexts[m][v] += 1
+    totals = [sum(c.values()) for c in ones]
     out = []
-    for i, t in rows:
-        b = (t or "").encode()
+    for i, ids in texts:
         loss = [0.0, 0.0]
         for m in (0, 1):
-            c, total = counts[m], sum(v for k, v in counts[m].items() if k < 256)
-            for k in range(3, len(b)):
-                p = 1 / 256
-                for n in range(1, 5):
-                    ctx = total if n == 1 else c[bucket(b[k + 1 - n : k])]
-                    p = (c[bucket(b[k + 1 - n : k + 1])] + alpha * p) / (ctx + alpha)
+            for v, w in zip(["start", *ids], ids, strict=False):
+                p = (ones[m][w] + alpha / V) / (totals[m] + alpha)
+                p = (pairs[m][v, w] + alpha * p) / (contexts[m][v] + alpha)
+                assert p <= 1
                 loss[m] -= math.log(p)
-        n = max(0, len(b) - 3)
-        out.append((i, n, *((x / n for x in loss) if n else (None, None))))
-    return sorted(out, key=str)
-
-
-def test_small_texts_match_brute_force(spark):
-    data = [(1, "the cat sat", "x"), (2, "the dog sät", "x"), (3, "###$$$%%%", "x"), (4, None, "x"), (5, "", "x"), (6, "abc", "x"), (7, "abcd", "x"),
-            (None, "the cat", "x"), (1, "another cat", "x"), (8, "ha" * 300, "x")]
-    docs = spark.createDataFrame(data, "doc_id long, text string, t string")
-    order = lambda r: (str(r[:2]), round(r[2] or 0, 3))
-    model = lmscore.fit(docs, spark.createDataFrame([(1,), (2,), (2,), (None,)], "doc_id long"))
-    got = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lmscore.score(docs, model).collect()), key=order)
-    want = sorted(brute([(i, t) for i, t, _ in data], {1, 2}), key=order)
+        n = len(ids)
+        out.append((i, n, *((loss[0] / n, loss[1] / n, (loss[0] - loss[1]) / n) if n else (None, None, None))))
+    return out
+
+
+def same(got, want):
+    order = lambda r: (str(r[0]), r[1], round(r[2] or 0, 6), round(r[3] or 0, 6))
+    got, want = sorted(map(tuple, got), key=order), sorted(want, key=order)
     assert [r[:2] for r in got] == [r[:2] for r in want]
     for a, b in zip(got, want, strict=True):
-        assert a[2:] == (None, None) if b[2] is None else a[2:] == pytest.approx(b[2:], rel=1e-5)
-    assert lmscore.score(docs.limit(0), model).count() == 0
+        assert a[2:] == (None,) * 3 if b[2] is None else a[2:] == pytest.approx(b[2:], rel=1e-9, abs=1e-9)
 
 
-def test_blocks_of_long_texts_change_nothing(monkeypatch, spark):
-    docs = spark.createDataFrame([(1, "abcdefg hij " * 400)], "doc_id long, text string")
-    model = np.random.default_rng(1).random((2, lmscore.BUCKETS)).astype(np.float32)
-    d = np.frombuffer(docs.first().text.encode(), np.uint8)
-    whole = lmscore.losses(d, model[0]).sum()
-    monkeypatch.setattr(tv, "BLOCK", 100)
-    s = tv.Slice(0, 1, d, np.array([0, len(d)]))
-    assert sum(lmscore.losses(x, model[0]).sum() for x, _ in lmscore.blocks(s)) == pytest.approx(whole, rel=1e-4)
+def test_small_texts_match_brute_force(spark, encode):
+    data = [(1, "the cat sat", "x"), (2, "the dog sät", "x"), (3, "###$$$%%%", "x"), (4, None, "x"), (5, "", "x"), (6, "a", "x"), (7, "the", "x"),
+            (None, "the cat", "x"), (1, "another cat", "x"), (8, "ha" * 3000, "x"), (9, "the cat sat", "x"), (9, "the cat sat", "x"), (10, "<|endoftext|>", "x")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, is_target string")
+    targets = spark.createDataFrame([(1,), (2,), (2,), (9,), (None,)], "doc_id long")
+    for portion in (3, 1000):
+        got = lmscore.score_documents(docs.repartition(3), targets, portion_tokens=portion).collect()
+        same(got, brute([(i, t) for i, t, _ in data], {1, 2, 9}, encode))
+    assert lmscore.score_documents(docs.limit(0), targets).count() == 0
+    none = lmscore.score_documents(docs, targets.limit(0)).where("n_tokens > 0").first()
+    assert none.target_loss == pytest.approx(math.log(V))
+
+
+def test_whole_table_matches_brute_force(spark, encode):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = lmscore.score_documents(docs, good, portion_tokens=100_000).collect()
+    same(got, brute(rows, {r.doc_id for r in good.collect()}, encode))
+    assert all(r.target_loss >= 0 and r.background_loss >= 0 for r in got if r.n_tokens)
+
+
+def test_a_very_long_text_is_scored_in_blocks(spark, encode):
+    data = [(1, " ".join(f"w{i * i % 977}" for i in range(40_000))), (2, "w1 w4")]
+    tokens = lmscore.tokenise(spark.createDataFrame(data, "doc_id long, text string"))
+    grams = lmscore.portion_grams(tokens, V)
+    same(lmscore.score(tokens, grams, lmscore.fit(grams, V), block=1000).collect(), brute(data, set(), encode))
+
+
+def test_probabilities_after_a_context_sum_to_one(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 5000")
+    tokens = lmscore.tokenise(docs, spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"))
+    assert len(ByteEncoder.shared(PATH).length) == V
+    grams = lmscore.portion_grams(tokens, V)
+    model = lmscore.fit(grams, V)
+    rows = model.counts.toPandas()
+    assert rows["gram"].is_unique and len(rows) > 10_000
+    for v in (V, int(np.argmax(model.contexts[1])), int(np.argmin(model.contexts[1])), 17):
+        every = (v << lmscore.BITS) + np.arange(V)
+        for i, c in enumerate(("target", "background")):
+            known = dict(zip(rows["gram"], rows[c], strict=True))
+            p = model.probability(i, every, np.array([known.get(g, 0) for g in every.tolist()]))
+            assert p.sum() == pytest.approx(1) and 0 < p.min() and p.max() <= 1
 
 
 def test_target_documents_score_lower(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    rows = {r.doc_id: r.score for r in lmscore.score(docs, lmscore.fit(docs, labels.where("quality = 1 and toxic = 0"))).collect()}
+    rows = {r.doc_id: r.score for r in lmscore.score_documents(docs, labels.where("quality = 1 and toxic = 0")).collect()}
     quality = {r.doc_id: r.quality for r in labels.collect()}
     good, bad = ([rows[i] for i, q in quality.items() if q == v] for v in (1, 0))
     assert np.mean([g < b for g in good for b in bad]) > 0.85
-
-
-def test_grams_are_counted_exactly(spark):
-    rng = np.random.default_rng(3)
-    texts = ["".join(map(chr, rng.integers(32, 127, 2000))) for _ in range(60)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    want = [Counter(), Counter()]
-    for i, t in enumerate(texts):
-        for k in range(3, len(t)):
-            for n in (3, 4):
-                want[1][t[k + 1 - n : k + 1]] += 1
-                want[0][t[k + 1 - n : k + 1]] += i < 20
-    model = lmscore.fit(docs, docs.where("doc_id < 20").select("doc_id"), most_grams=3000)
-    rows = spark.read.parquet(model.table).where(f"gram >= {lmscore.BUCKETS}").collect()
-    assert len(rows) == len(want[1]) > 100_000
-
-    def gram(r):
-        n, size = (r.gram - lmscore.AT3, 3) if r.gram < lmscore.AT4 else (r.gram - lmscore.AT4, 4)
-        return n.to_bytes(size, "big").decode()
-
-    assert all((r.target, r.background) == (want[0][gram(r)], want[1][gram(r)]) for r in rows)
-    total = [Counter(t[k] for t in ts for k in range(3, len(t))) for ts in (texts[:20], texts)]
-    two = [Counter(t[k - 1 : k + 1] for t in ts for k in range(3, len(t))) for ts in (texts[:20], texts)]
-    loss = 0.0
-    t = texts[0]
-    for k in range(3, len(t)):
-        p, ctx = 1 / 256, sum(total[1].values())
-        for n, c in enumerate((total[1], two[1], want[1], want[1]), 1):
-            p = (c[t[k + 1 - n : k + 1]] + lmscore.ALPHA * p) / (ctx + lmscore.ALPHA)
-            ctx = c[t[k - n : k]]
-        loss -= math.log(p)
-    got = {r.doc_id: r for r in lmscore.score(docs, model, portion_bytes=5000).collect()}
-    assert len(got) == 60 and got[0].background_loss == pytest.approx(loss / (len(t) - 3), rel=1e-9)

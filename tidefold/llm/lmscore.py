@@ -1,25 +1,25 @@
 """Language-model scoring by cross-entropy difference.
 
-Two n-gram models over UTF-8 bytes, a target model and a background model, share one vocabulary (the
-256 bytes) and one form: the probability of a byte after its last three bytes is smoothed order by
-order, (count + alpha * lower order) / (context count + alpha), down to a uniform vocabulary. The
-background counts all documents, the target those of the target set. A document's score is the mean
-over its bytes of the target loss minus the background loss: the lower, the more it resembles the
-target.
-
-Every gram is counted exactly. Orders 1 and 2 are an array over all their grams; those of orders 3 and 4
-are a table in the shared folder, one row per gram, which grows with the corpus. Each task adds up its
-texts' grams, handing them on whenever it holds many, and Spark adds up the tasks. A scoring task takes
-its documents a portion at a time, finds the portion's distinct grams and streams the table past them, so
-its memory follows the portion and not the table.
-
-A context's count is that of the gram with its bytes, which only counts grams that end at a byte with a
-loss: around the ends of short texts a gram can be more frequent than its context.
-
-Defined results: null text counts as empty; a text of fewer than four bytes has no byte to score, so
-its scores are null; rows with a null or repeated doc_id are counted and scored by themselves; an
-empty target makes both models equal in all but smoothing, so every score is the difference from the
-uniform model. Extra columns are ignored; empty input gives empty output.
+Two bigram models over the tokens of a public tokenizer, a target model and a background model, share
+one vocabulary (all ids of the tokenizer) and one form. After the token v the probability of w is
+
+    p(w | v) = (count(v w) + alpha * p(w)) / (count(v .) + alpha)
+    p(w)     = (count(w) + alpha / vocabulary) / (tokens + alpha)
+
+so after any context the probabilities sum to 1 and no loss is negative. A text begins with a start
+symbol that is never predicted; every token is scored. The background counts all documents, the target
+those of the target set. A document's score is its mean loss per token under the target model minus
+that under the background model: the lower, the more it resembles the target.
+
+Every bigram is counted exactly, in a table in the shared folder that grows with the corpus. Texts are
+encoded once; the ids go to the shared folder in portions of about `portion_tokens` tokens. A portion
+has far fewer distinct bigrams than tokens, so only those are shuffled: once to be added up over all
+portions, once to be joined to the sums, and back to their portion, whose documents they score. Only
+counts of single tokens, an array as long as the vocabulary, are held whole.
+
+Defined results: null text counts as empty; a text without tokens has null scores; rows with a null or
+repeated doc_id are counted and scored by themselves; without a target document the target model is the
+uniform one. Extra columns are ignored; empty input gives empty output.
 """
 
 from __future__ import annotations
@@ -29,220 +29,170 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textvec as tv
-from .common import cut, fresh_path, text_batches
-from .neardup import small_side
-
-AT2, AT3 = 256, 256 + (1 << 16)
-AT4 = AT3 + (1 << 24)
-#: Grams of orders 1 and 2, whose counts are held as an array.
-BUCKETS = AT3
-#: Distinct grams that a counting task holds before it hands them on.
-MOST_GRAMS = 1 << 21
-#: Bytes of text that a scoring task looks up together.
-PORTION = 1 << 25
+from .attribution import ByteEncoder
+from .common import cut, map_batches, small_side
+from .tokens import tokenizer_path
+
 ALPHA = 4.0
+#: Tokens of a portion, and tokens that are scored at once.
+PORTION, BLOCK = 1 << 22, 1 << 20
+#: A bigram is one number: its first token (or the start symbol) times 2**24, plus its second.
+BITS = 24
 
+TOKENS = "portion long, doc_id long, is_target boolean, n_tokens long, ids binary"
 RESULT = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+_SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *[(c, pa.float64()) for c in ("target_loss", "background_loss", "score")]])
 
 
 @dataclass
 class Model:
-    """low: a broadcast array (2 x BUCKETS: target, background); table: folder of the counts of the
-    grams of orders 3 and 4 (gram, target, background)."""
-
-    low: Broadcast
-    table: str
-
-
-def grams(d: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The grams of order 1 to 4 that end at each byte from the fourth on, each with a number of its own."""
-    x = d.astype(np.int64)
-    g2 = x[2:-1] << 8 | x[3:]
-    g3 = x[1:-2] << 16 | g2
-    g4 = x[:-3] << 24 | g3
-    return x[3:], g2 + AT2, g3 + AT3, g4 + AT4
-
-
-def triples(d: np.ndarray) -> np.ndarray:
-    """The grams of order 3 that end at each byte from the third on: of two
-    neighbours the first is the context of the gram of order 4 that ends with the second."""
-    x = d.astype(np.int64)
-    return (x[:-2] << 16 | x[1:-1] << 8 | x[2:]) + AT3
-
-
-def blocks(s: tv.Slice) -> Iterator[tuple[np.ndarray, int]]:
-    """Pieces of a slice with three bytes of overlap, and where each begins; a long text is cut."""
-    for a in range(0, max(1, len(s.data) - 3), tv.BLOCK):
-        d = s.data[a : a + tv.BLOCK + 3]
-        if len(d) >= 4:
-            yield d, a
-
-
-def _scored(s: tv.Slice) -> np.ndarray:
-    """Which bytes from the fourth of the slice on are at least the fourth of their text."""
-    ok = np.ones(max(0, len(s.data)), bool)
-    for k in range(3):
-        at = s.bounds[:-1] + k
-        ok[at[at < s.bounds[1:]]] = False
-    return ok[3:]
-
-
-def _merged(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
-    """One part with each gram once, its counts added up."""
-    gram, target, background = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(gram, kind="stable")
-    gram = gram[order]
-    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-    return [(gram[first], np.add.reduceat(target[order], first), np.add.reduceat(background[order], first))]
-
-
-def count(texts: DataFrame, most_grams: int = MOST_GRAMS) -> DataFrame:
-    """gram, target, background: exact gram counts of texts (text, is_target) over all tasks."""
-
-    def batches_of(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for a in range(0, len(part[0]), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 18)]) for x in part], ["gram", "target", "background"])
+    """counts: the table of bigrams (gram, target, background). For target and background in turn,
+    tokens and contexts: how often each id occurs, and how often it stands before a token (the start
+    symbol comes last)."""
+
+    counts: DataFrame
+    tokens: np.ndarray
+    contexts: np.ndarray
+    alpha: float = ALPHA
+
+    def probability(self, which: int, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """p of the second token of each bigram after the first, given the bigrams' own counts."""
+        first, second = grams >> BITS, grams & ((1 << BITS) - 1)
+        one, a = self.tokens[which], self.alpha
+        p = (one[second] + a / len(one)) / (one.sum() + a)
+        return (counts + a * p) / (self.contexts[which][first] + a)
+
+
+def tokenise(
+    documents: DataFrame, targets: DataFrame | None = None, tokenizer: str | None = None, portion_tokens: int = PORTION
+) -> DataFrame:
+    """TOKENS: the ids of every document (16 bits each, packed), by portions; targets: doc_id of the
+    target set."""
+    path = tokenizer or tokenizer_path("byte_bpe_50k.tiktoken")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if targets is None:
+        docs = docs.withColumn("is_target", F.lit(False))
+    else:
+        ids = cut(targets.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("t")).distinct(), "lm-targets")
+        docs = docs.join(small_side(ids), F.col("doc_id") == F.col("t"), "left").select("doc_id", "text", F.col("t").isNotNull().alias("is_target"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = np.zeros((2, BUCKETS), np.int64)
-        parts: list[tuple[np.ndarray, ...]] = []
+        encoder = ByteEncoder.shared(path)
+        portion, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            flags = np.array(batch.column("is_target").to_pylist(), bool)
-            for s in tv.slices(batch.column("text")):
-                ok = _scored(s)
-                wanted = np.repeat(flags[s.first : s.last], np.diff(s.bounds))[3:]
-                for d, a in blocks(s):
-                    use = ok[a : a + len(d) - 3]
-                    aim = wanted[a : a + len(d) - 3] & use
-                    every = grams(d)
-                    for g in every[:2]:
-                        low[1] += np.bincount(g[use], minlength=BUCKETS)
-                        low[0] += np.bincount(g[aim], minlength=BUCKETS)
-                    for g in every[2:]:
-                        both, n = np.unique((g << 1 | aim)[use], return_counts=True)
-                        parts.append((both >> 1, n * (both & 1), n))
-                    if sum(len(p[0]) for p in parts) >= 2 * most_grams:
-                        parts = _merged(parts)
-                        if len(parts[0][0]) >= most_grams:
-                            yield from batches_of(parts)
-                            parts = []
-        full = np.flatnonzero(low[1])
-        yield from batches_of([(full, low[0, full], low[1, full])])
-        if parts:
-            yield from batches_of(_merged(parts))
-
-    text_batches(texts.sparkSession)
-    partial = texts.mapInArrow(run, "gram long, target long, background long")
-    return partial.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def fit(documents: DataFrame, targets: DataFrame, most_grams: int = MOST_GRAMS) -> Model:
-    """The counts of both models. targets: doc_id of the target set."""
-    spark = documents.sparkSession
-    ids = cut(targets.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("t")).distinct(), "lm-targets")
-    docs = documents.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text"))
-    texts = docs.join(small_side(ids), F.col("d") == F.col("t"), "left").select(
-        "text", F.col("t").isNotNull().alias("is_target")
-    )
-    path = fresh_path(spark, "lm-grams")
-    count(texts, most_grams).write.parquet(path)
-    counts = spark.read.schema("gram long, target long, background long").parquet(path)
-    table = counts.where(F.col("gram") < BUCKETS).toArrow()  # at most BUCKETS rows of three numbers
-    low = np.zeros((2, BUCKETS))
-    at = table.column("gram").to_numpy()
-    low[0, at], low[1, at] = table.column("target").to_numpy(), table.column("background").to_numpy()
-    return Model(spark.sparkContext.broadcast(low), path)
-
-
-def looked_up(path: str, wanted: np.ndarray) -> np.ndarray:
-    """Counts (2 x grams: target, background) of the sorted distinct grams `wanted`, 0 where the table has
-    none. The table goes by in batches."""
-    out = np.zeros((2, len(wanted)))
-    fs, at = pafs.FileSystem.from_uri(path)
-    names = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.path.endswith(".parquet"))
-    for name in names if len(wanted) else []:
-        with fs.open_input_file(name) as file:
-            for batch in pq.ParquetFile(file).iter_batches(1 << 18):
-                gram, *values = (c.to_numpy() for c in batch.columns)
-                place = np.minimum(np.searchsorted(wanted, gram), len(wanted) - 1)
-                hit = wanted[place] == gram
-                for i in range(2):
-                    out[i, place[hit]] = values[i][hit]
+            portions, sizes, packed = [], [], []
+            for text in batch.column("text"):
+                ids = encoder.ids(text.as_py() or "")
+                portions.append(portion)
+                sizes.append(len(ids))
+                packed.append(pa.compress(ids.astype("<u2").tobytes(), "zstd", asbytes=True))
+                held += len(ids)
+                if held >= portion_tokens:
+                    portion, held = portion + 1, 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(portions, pa.int64()), batch.column("doc_id"), batch.column("is_target"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())],
+                [x.split()[0] for x in TOKENS.split(", ")],
+            )
+
+    return cut(map_batches(docs, run, TOKENS), "lm-tokens")
+
+
+def unpacked(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, 2 * n, "zstd") if n else b"", "<u2").astype(np.int64)
+
+
+def bigrams(ids: np.ndarray, before: int) -> np.ndarray:
+    """The bigram that ends with each token; `before` stands before the first."""
+    out = ids.copy()
+    out[1:] |= ids[:-1] << BITS
+    if len(out):
+        out[0] |= before << BITS
     return out
 
 
-def losses(
-    d: np.ndarray, low: np.ndarray, high: tuple[np.ndarray, np.ndarray] | None = None, alpha: float = ALPHA
-) -> np.ndarray:
-    """-log p of each byte from the fourth on. low: counts of orders 1 and 2; high: counts of the triples
-    and of the grams of order 4 of d; without it the model ends at order 2."""
-    g1, g2, *_ = grams(d)
-    p = (low[g1] + alpha / 256) / (low[:256].sum() + alpha)
-    p = (low[g2] + alpha * p) / (low[d[2:-1]] + alpha)
-    if high is not None:
-        p = (high[0][1:] + alpha * p) / (low[AT2 + (d[1:-2].astype(np.int64) << 8 | d[2:-1])] + alpha)
-        p = (high[1] + alpha * p) / (high[0][:-1] + alpha)
-    return -np.log(p)
-
-
-def _score_portion(portion: list[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    parts: tuple[list, list] = ([], [])
-    for batch in portion:
-        for s in tv.slices(batch.column("text")):
-            for d, _ in blocks(s):
-                for part, g in zip(parts, (triples(d), grams(d)[3]), strict=True):
-                    part.append(np.unique(g))
-                    if sum(map(len, part)) >= 2 * MOST_GRAMS:
-                        part[:] = [np.unique(np.concatenate(part))]
-    three, four = (np.unique(np.concatenate([np.zeros(0, np.int64), *part])) for part in parts)
-    wanted = np.concatenate([three, four])  # every gram of order 4 has a higher number
-    counts = looked_up(model.table, wanted)
-    for batch in portion:
-        n, sums = [], []
-        for s in tv.slices(batch.column("text")):
-            loss = np.zeros((2, s.n))
-            ok = _scored(s)
-            text_of = np.repeat(np.arange(s.n), np.diff(s.bounds))[3:]
-            for d, a in blocks(s):
-                use = ok[a : a + len(d) - 3]
-                own = text_of[a : a + len(d) - 3][use]
-                at3, at4 = np.searchsorted(three, triples(d)), len(three) + np.searchsorted(four, grams(d)[3])
-                for i in range(2):
-                    loss[i] += np.bincount(own, losses(d, model.low.value[i], (counts[i, at3], counts[i, at4]))[use], s.n)
-            n.append(np.maximum(0, np.diff(s.bounds) - 3))
-            sums.append(loss)
-        n, sums = np.concatenate(n), np.concatenate(sums, axis=1)
-        none = n == 0
-        t, b = (np.divide(x, n, out=np.zeros(len(n)), where=~none) for x in sums)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n), *(pa.array(x, mask=none) for x in (t, b, t - b))],
-            [x.split()[0] for x in RESULT.split(", ")],
-        )
-
-
-def score(documents: DataFrame, model: Model, portion_bytes: int = PORTION) -> DataFrame:
-    """Mean losses of both models and their difference for every document."""
+def portion_grams(tokens: DataFrame, vocabulary: int) -> DataFrame:
+    """portion, gram, target, background: the distinct bigrams of each portion and how often it has
+    them. A portion that is read in two parts may give a bigram twice."""
+
+    def counted(portion: int, grams: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        marked, n = np.unique(np.concatenate(grams), return_counts=True)
+        gram, target = marked >> 1, n * (marked & 1)
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
+        columns = [gram[first], np.add.reduceat(target, first), np.add.reduceat(n, first)] if len(first) else [gram, target, n]
+        for a in range(0, len(first), 1 << 17):
+            part = [pa.array(c[a : a + (1 << 17)].astype(np.int64)) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), portion)), *part], ["portion", "gram", "target", "background"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        portion, size = [], 0
+        at, grams, held = None, [], 0
         for batch in batches:
-            if batch.num_rows:
-                portion.append(batch)
-                size += batch.nbytes
-            if size >= portion_bytes:
-                yield from _score_portion(portion, model)
-                portion, size = [], 0
-        if portion:
-            yield from _score_portion(portion, model)
-
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    text_batches(documents.sparkSession)
-    return docs.mapInArrow(run, RESULT)
+            for portion, aim, n, ids in zip(*(batch.column(c).to_pylist() for c in ("portion", "is_target", "n_tokens", "ids")), strict=True):
+                if grams and (portion != at or held >= PORTION):
+                    yield from counted(at, grams)
+                    grams, held = [], 0
+                at, held = portion, held + n
+                own = unpacked(ids, n)
+                grams.append(bigrams(own, vocabulary) << 1 | int(aim))
+        if grams:
+            yield from counted(at, grams)
+
+    schema = "portion long, gram long, target long, background long"
+    return cut(map_batches(tokens.select("portion", "is_target", "n_tokens", "ids"), run, schema), "lm-portion-grams")
+
+
+def fit(grams: DataFrame, vocabulary: int, alpha: float = ALPHA) -> Model:
+    """Both models from the bigrams of all portions."""
+    counts = cut(grams.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "lm-grams")
+
+    def sums(key, size: int) -> np.ndarray:  # at most one row for each id
+        rows = counts.groupBy(key.cast("long").alias("id")).agg(F.sum("target").alias("t"), F.sum("background").alias("b")).toArrow()
+        out = np.zeros((2, size))
+        for i, c in enumerate(("t", "b")):
+            out[i, rows.column("id").to_numpy()] = rows.column(c).to_numpy()
+        return out
+
+    second = F.col("gram").bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
+    return Model(counts, sums(second, vocabulary), sums(F.shiftright("gram", BITS), vocabulary + 1), alpha)
+
+
+def score(tokens: DataFrame, grams: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
+    """Mean losses per token of both models and their difference for every document."""
+    vocabulary = model.tokens.shape[1]
+    shared = tokens.sparkSession.sparkContext.broadcast((model.tokens, model.contexts))
+    alpha = model.alpha
+
+    def one(docs: pa.Table, found: pa.Table) -> pa.Table:
+        own = Model(None, *shared.value, alpha)
+        known, first = np.unique(found.column("gram").to_numpy(), return_index=True)
+        loss = [
+            -np.log(own.probability(i, known, found.column(c).to_numpy()[first])) for i, c in enumerate(("target", "background"))
+        ]
+        sums = np.zeros((2, docs.num_rows))
+        for d, (n, packed) in enumerate(zip(docs.column("n_tokens").to_pylist(), docs.column("ids"), strict=True)):
+            ids = unpacked(packed.as_py(), n)
+            for a in range(0, n, block):
+                at = np.searchsorted(known, bigrams(ids[a : a + block], ids[a - 1] if a else vocabulary))
+                sums[:, d] += [x[at].sum() for x in loss]
+        n = docs.column("n_tokens").to_numpy()
+        t, b = (pa.array(np.divide(x, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0) for x in sums)
+        both = pa.array((sums[0] - sums[1]) / np.maximum(n, 1), mask=n == 0)
+        return pa.Table.from_arrays([docs.column("doc_id"), docs.column("n_tokens"), t, b, both], schema=_SCORED)
+
+    known = grams.select("portion", "gram").join(model.counts, "gram")
+    wanted = tokens.select("portion", "doc_id", "n_tokens", "ids")
+    return wanted.groupBy("portion").cogroup(known.groupBy("portion")).applyInArrow(one, RESULT)
+
+
+def score_documents(
+    documents: DataFrame, targets: DataFrame, tokenizer: str | None = None, alpha: float = ALPHA, portion_tokens: int = PORTION
+) -> DataFrame:
+    """Both models fitted on the documents, and every document's score."""
+    path = tokenizer or tokenizer_path("byte_bpe_50k.tiktoken")
+    tokens = tokenise(documents, targets, path, portion_tokens)
+    vocabulary = len(ByteEncoder.shared(path).length)
+    grams = portion_grams(tokens, vocabulary)
+    return score(tokens, grams, fit(grams, vocabulary, alpha))

@@ -47,7 +47,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled as good and not toxic; background: all documents."""
     documents = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
-    return lmscore.score(documents, lmscore.fit(documents, good))
+    return lmscore.score_documents(documents, good)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
