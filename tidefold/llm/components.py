@@ -1,8 +1,9 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Both steps only group by a node and join the least neighbour back, so links stay distributed; each
-round is written to the shared folder, which ends its lineage. Star-shaped links settle in two or
-three rounds, and any graph in a number of rounds that grows with the logarithm of its diameter.
+round is written to the shared folder, which ends its lineage, and the round before it is deleted.
+Star-shaped links settle in two or three rounds, and any graph in a number of rounds that grows with the
+logarithm of its diameter.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import discard, stored
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -35,10 +36,12 @@ def _state(links: DataFrame) -> tuple:
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node reachable) for every node of the links (a, b), a <> b."""
-    links = cut(links.where("a <> b").distinct(), "links")
+    links, path = stored(links.where("a <> b").distinct(), "links")
     state = _state(links)
     while state[0]:
-        links = cut(_small_star(_large_star(links)), "links")
+        old = path
+        links, path = stored(_small_star(_large_star(links)), "links")
+        discard(links.sparkSession, old)
         before, state = state, _state(links)
         if state == before:
             break

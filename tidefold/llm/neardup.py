@@ -3,15 +3,19 @@
 1. Each text becomes its set of distinct word shingles (64-bit hashes), a 128-bit fingerprint of the
    set, and the band keys of a SuperMinHash signature. Texts are not shuffled.
 2. Equal sets form a class, represented by its least doc_id; only representatives go on, so copies
-   are never expanded into pairs.
+   are never expanded into pairs. A doc_id that several classes hold links their representatives.
 3. Banding: in each bucket a random member leads, another one in each bucket of a large group, and
    the other members are candidates with it. Candidates are verified on full sets, and the links
    give first components, in which a large group of near copies already is one.
-4. What is left are pairs of a bucket that lie in different components. In each bucket the members
-   outside its most frequent component meet the members of other components; the join drops those
-   that a lossless bound on parity sketches rules out, and the others are verified too, so no link
-   between components is lost. Members of one component, which a large group of near copies forms
-   after step 3, are never paired.
+4. What is left are pairs of a bucket that lie in different components. Members of one component,
+   which a large group of near copies forms after step 3, are never paired. Where at most FEW members
+   of a bucket lie outside its most frequent component, those meet the other members. The members of
+   all other buckets, such as pages of one template that are alike below the limit, meet by the
+   rarest shingles of their sets (prefix filtering) instead: with one order of all shingles, two sets
+   that are alike share one of the first n / 9 of the smaller (at 80 percent) and the first n / 5 of
+   the larger. Both joins drop pairs that a lossless bound on parity sketches rules out, and the
+   others are verified too, so no link between components is lost. A key with many members is dealt
+   in blocks of BLOCK by BLOCK members.
 5. Components of all links (union-find by star contraction) are joined back to the documents.
 
 With 42 bands of 6 rows a pair at the limit of 0.8 shares no band with probability 3e-6, and pairs
@@ -19,12 +23,15 @@ beyond it less.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; a text of fewer
 words than a shingle has its whole sequence as its one shingle; rows that repeat a doc_id count as
-one node, with the links of all of them; a row with a null doc_id is not linked and is kept, with a
-null component. Empty input gives empty output. Extra columns are ignored.
+one node, with the links of all of them (but rows with an empty set stay alone); a row with a null
+doc_id is not linked and is kept, with a null component. Empty input gives empty output. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,12 +39,18 @@ from pyspark.sql import functions as F
 
 from . import superminhash as smh
 from . import textvec as tv
-from .common import cut, map_arrow, small_side
+from .common import cut, map_arrow, map_batches, small_side
 from .components import components
 
 BANDS, ROWS = 42, 6
 #: Longs of a parity sketch.
 WORDS = 16
+#: Members of a bucket outside its most frequent component that may meet all its members.
+FEW = 64
+#: Members of a key that meet as many others in one task.
+BLOCK = 2048
+#: Counters in which shingles are counted to order them; the order is exact with any counts.
+COUNTERS = 1 << 20
 
 
 def shingle_sets(s: tv.Slice, k: int) -> list[np.ndarray]:
@@ -135,47 +148,132 @@ def verified(documents: DataFrame, pairs: DataFrame, k: int, percent: int) -> Da
     )
 
 
-def pairs_across(buckets: DataFrame, groups: DataFrame, parity: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a < b): members of one bucket that lie in different components and whose sets may
-    be alike.
+def _meet(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a < b): nodes that share a key, lie in different components and may be alike.
 
-    Leaders have met all members already, so they are left out. In what remains of a bucket the
-    members outside its most frequent component meet those of other components. The join itself
-    drops pairs that cannot be alike: the Hamming distance of two parity sketches is at most the
+    rows: key, node, component, n, parity, and leads: whether the node may be the smaller one of a pair.
+    The nodes outside the most frequent component of a key meet those of other components. The join
+    itself drops pairs that cannot be alike: the Hamming distance of two parity sketches is at most the
     symmetric difference of the sets, and alike sets have a symmetric difference of at most
     (100 - percent) / (100 + percent) of the sum of their sizes. Nothing alike is dropped by that.
     """
-    rows = (
-        buckets.where("node <> lead")
-        .join(groups, "node", "left")
-        .select("key", "node", F.coalesce("component", "node").alias("component"))
-        .distinct()
-    )
-    rows = cut(rows, "dedup-rows")
     top = (
         rows.groupBy("key", "component")
         .count()
         .groupBy("key")
-        .agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("key", F.col("top.component").alias("top"))
+        .agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("groups"), F.sum("count").alias("all"))
+        .where("groups > 1")
+        .select("key", F.col("top.component").alias("top"), *[F.ceil(c / BLOCK).cast("int").alias(name) for c, name in (
+            (F.col("all") - F.col("top.count"), "few_blocks"), (F.col("all"), "all_blocks"))])
     )
-    full = rows.join(top, "key").join(parity, "node")
+    full = rows.join(top, "key")
+    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     few = full.where("component <> top").select(
-        "key", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("parity").alias("px")
+        "key", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("parity").alias("px"),
+        F.col("leads").alias("lx"), dealt("few_blocks").alias("bx"), each("all_blocks").alias("by"),
     )
     every = full.select(
-        F.col("key").alias("k"), F.col("node").alias("y"), F.col("component").alias("cy"), "top",
-        F.col("n").alias("ny"), F.col("parity").alias("py"),
+        F.col("key").alias("k"), F.col("node").alias("y"), F.col("component").alias("cy"), "top", F.col("n").alias("ny"),
+        F.col("parity").alias("py"), F.col("leads").alias("ly"), dealt("all_blocks").alias("ky"), each("few_blocks").alias("kx"),
     )
+    same = (F.col("key") == F.col("k")) & (F.col("bx") == F.col("kx")) & (F.col("by") == F.col("ky"))
     once = (F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))
+    first = F.struct(F.col("nx"), F.col("x")) < F.struct(F.col("ny"), F.col("y"))
     by_size = F.greatest("nx", "ny") * percent <= 100 * F.least("nx", "ny")
     apart = sum((F.bit_count(F.col("px")[i].bitwiseXOR(F.col("py")[i])) for i in range(WORDS)), F.lit(0))
     by_sketch = apart * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
-    meet = (F.col("key") == F.col("k")) & (F.col("cx") != F.col("cy")) & once & by_size & by_sketch
+    meet = same & (F.col("cx") != F.col("cy")) & once & F.when(first, F.col("lx")).otherwise(F.col("ly")) & by_size & by_sketch
     return few.join(every, meet).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many elements of all sets fall into each of COUNTERS counters, an array of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            flat = batch.column("elements").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            total += np.bincount((flat % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        used = np.flatnonzero(total)
+        for a in range(0, len(used), 1 << 17):
+            at = used[a : a + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
+
+    rows = map_batches(sets.select("elements"), run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[rows.column("counter").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """node, n, key, leads: the rarest shingles of each set, as many as an alike set can miss; leads
+    marks those that suffice where the other set is not smaller."""
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, keys, leads = [], [], [], []
+            for node, elements in zip(batch.column("node").to_pylist(), batch.column("elements"), strict=True):
+                e = elements.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                n = len(e)
+                long = n - -(-percent * n // 100) + 1
+                short = n - -(-2 * percent * n // (100 + percent)) + 1
+                seen = shared.value[(e % np.uint64(COUNTERS)).astype(np.int64)]
+                own = e[np.lexsort((e, seen))[:long]]
+                nodes.append(np.full(len(own), node))
+                sizes.append(np.full(len(own), n))
+                keys.append(own.view(np.int64))
+                leads.append(np.arange(len(own)) < short)
+            arrays = [pa.array(np.concatenate(x)) for x in (nodes, sizes, keys, leads)]
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "n", "key", "leads"])
+
+    return map_batches(sets, run, "node long, n long, key long, leads boolean")
+
+
+def pairs_across(documents: DataFrame, buckets: DataFrame, groups: DataFrame, parity: DataFrame, k: int, percent: int) -> DataFrame:
+    """Candidates (a < b) of all buckets that lie in different components, see the module's step 4.
+    Leaders have met all members already, so they are left out."""
+    rows = cut(
+        buckets.where("node <> lead")
+        .join(groups, "node", "left")
+        .select("key", "node", F.coalesce("component", "node").alias("component"))
+        .distinct(),
+        "dedup-rows",
+    )
+    sizes = rows.groupBy("key", "component").count().groupBy("key").agg(
+        (F.sum("count") - F.max("count")).alias("few"), F.sum("count").alias("all")
+    )
+    kinds = cut(sizes.where("few > 0").select("key", (F.col("few") > FEW).alias("heavy")), "dedup-kinds")
+    named = lambda df: df.join(parity, "node")
+    light = named(rows.join(kinds.where("not heavy").select("key"), "key", "left_semi")).withColumn("leads", F.lit(True))
+    pairs = _meet(light, percent)
+    heavy = cut(rows.join(kinds.where("heavy").select("key"), "key", "left_semi").select("node", "component").distinct(), "dedup-heavy")
+    if heavy.isEmpty():
+        return pairs
+    sets = cut(_sets_of(documents, heavy.select("node").distinct(), k), "dedup-heavy-sets")
+    rarest = prefixes(sets, shingle_counts(sets), percent).join(heavy, "node")
+    sketched = parity.select("node", "n", "parity")
+    return pairs.union(_meet(rarest.join(sketched, ["node", "n"]), percent)).distinct()
+
+
+def shared_ids(sk: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the representatives of the classes that hold one doc_id."""
+    both = F.struct("f1", "f2")
+    ids = cut(
+        sk.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(both).alias("x"), F.max(both).alias("y")).where("x <> y").select("doc_id"),
+        "dedup-shared",
+    )
+    if ids.isEmpty():
+        return ids.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    held = cut(
+        sk.join(small_side(ids), "doc_id", "left_semi").where("n_shingles > 0").join(classes, ["f1", "f2"]).select("doc_id", "node").distinct(),
+        "dedup-held",
+    )
+    least = held.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return held.join(small_side(least), "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
 def near_duplicates(
     documents: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -205,10 +303,10 @@ def near_duplicates(
         .distinct(),
         "dedup-pairs",
     )
-    links = cut(verified(documents, first, k, percent), "dedup-links")
+    links = cut(verified(documents, first, k, percent).union(shared_ids(sk, classes)), "dedup-links")
     groups = cut(components(links), "dedup-groups")
     parity = reps.select("node", F.col("n_shingles").alias("n"), "parity")
-    rest = cut(pairs_across(buckets, groups, parity, percent), "dedup-pairs")
+    rest = cut(pairs_across(documents, buckets, groups, parity, k, percent), "dedup-pairs")
     if not rest.isEmpty():
         more = cut(verified(documents, rest, k, percent), "dedup-links")
         groups = cut(components(links.union(more)), "dedup-groups")
@@ -226,6 +324,21 @@ def near_duplicates(
 
 
 def filter_documents(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of documents, all columns, without the near duplicates."""
-    gone = near_duplicates(documents, k, percent).where("not kept").select("doc_id").distinct()
-    return documents.join(small_side(cut(gone, "dedup-gone")), "doc_id", "left_anti").select(*documents.columns)
+    """The rows of documents, all columns, with one row of each group of near duplicates.
+
+    A null doc_id stands for one made from the text, beyond all given ones, so such rows are grouped by
+    their text and give way to rows with an id. Of rows that repeat the kept doc_id one stays (the
+    least hash of its columns). Rows without a word are linked with nothing and all stay."""
+    made = F.lit(1 << 62).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)))
+    own = F.coalesce(F.col("doc_id").cast("long"), made)
+    found = cut(near_duplicates(documents.select(own.alias("doc_id"), "text"), k, percent), "dedup-verdicts")
+    gone = cut(found.where("not kept").select(F.col("doc_id").alias("own")).distinct(), "dedup-gone")
+    has_word = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = documents.select(F.struct("*").alias("row"), own.alias("own"), has_word.alias("has_word"))
+    rows = rows.join(small_side(gone), "own", "left_anti")
+    again = cut(found.where("kept and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), "dedup-again")
+    if again.isEmpty():
+        return rows.select("row.*")
+    rows = rows.join(small_side(again), F.col("has_word") & (F.col("own") == F.col("again")), "left")
+    one = rows.where("again is not null").groupBy("again").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rows.where("again is null").select("row.*").union(one.select("row.*"))
