@@ -2,19 +2,22 @@
 
 Every document is a packet of its source's queue, and queues are shuffled by a hash. A document's
 virtual finish time is the running number of its source's tokens up to its end, divided by the
-source's target, so all queues advance evenly and the mix is the documents in order of virtual
-finish time. At virtual time t all sources together have sent t * sum(targets) tokens; the targets
-sum to the total budget, so the budget is reached at time 1: the global order is truncated there.
-A source whose target exceeds its size is queued again behind itself (a second lap).
+source's target, so all queues advance evenly. A source is queued again behind itself (a second lap),
+since its target may exceed its size. The mix is the packets of all sources in one global order, that
+of (virtual finish time, source, place in the queue), truncated where their tokens reach the total
+budget; the packet that crosses the budget is cut there. A source's taken words differ from its target
+by little more than the size of a document.
 
 No source is gathered in one task: running sums are taken in two levels. Documents fall into hash
 slots of bounded size, the slots' sums are summed up along each source, and only inside a slot are
-documents ordered.
+documents ordered. The place of the budget in the global order is found from sums over slices of
+virtual time: the slice that the budget falls into is sliced again until few packets are left in it.
+Each level is one aggregation whose result has SLICES rows.
 
 Defined results: null text has size 0; a null source is a source of its own, after all others;
 documents of size 0 are taken 0 times; rows that repeat a doc_id are documents of their own, and
-equal rows are interchangeable; empty input gives empty output. Extra columns are carried by
-`materialise` and ignored by `schedule`.
+equal rows are interchangeable (they are counted, queued as one packet and dealt out again); empty input
+gives empty output. Extra columns are carried by `materialise` and ignored by `schedule`.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ from .common import cut
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
+#: Slices of virtual time that are summed up at once, and packets that need no more slicing.
+SLICES, FEW = 4096, 4096
+#: Copies of a row that are dealt out from one row.
+COPIES = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -74,17 +81,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
 
 
 def _slots(documents: DataFrame, weights, share, most, slot_documents):
-    """The narrow table of documents with their slots, and the table of slots with the targets."""
+    """The narrow table of distinct documents with their slots and numbers of copies, and the table of
+    slots with the targets."""
     base = cut(
         documents.select(
             "doc_id", "source", size_of(F.col("text")).alias("size"),
             place_of(F.col("doc_id"), F.col("text")).alias("place"),
-        ),
+        )
+        .groupBy("doc_id", "source", "size", "place")
+        .agg(F.count("*").alias("copies")),
         "mix-sizes",
     )
     n_slots = max(1, -(-base.count() // slot_documents))
     base = base.withColumn("slot", slot_of(F.col("place"), n_slots))
-    by_slot = cut(base.groupBy("source", "slot").agg(F.sum("size").alias("slot_size")), "mix-slots")
+    by_slot = cut(base.groupBy("source", "slot").agg(F.sum(F.col("size") * F.col("copies")).alias("slot_size")), "mix-slots")
     goal = targets(
         by_slot.groupBy("source").agg(F.sum("slot_size").alias("source_size")), weights, share, most
     )
@@ -109,12 +119,73 @@ def _ends(base: DataFrame, slots: DataFrame) -> DataFrame:
         .orderBy("place", "doc_id", "size")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    return base.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("slot") == F.col("k"))).select(
-        "doc_id", "source", "place", "size", "source_size", "target",
-        (F.col("ahead") + F.sum("size").over(inside)).alias("end"),
+    all_copies = F.col("size") * F.col("copies")
+    last = base.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("slot") == F.col("k"))).select(
+        "doc_id", "source", "place", "size", "source_size", "target", "budget", "copies",
+        (F.col("ahead") + F.sum(all_copies).over(inside)).alias("last"),
+    )
+    # the copies of a row, in portions that are spread over tasks where there are many
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))
+    chunks = last.withColumn("chunk", chunk)
+    if not base.where(F.col("copies") > COPIES).isEmpty():
+        chunks = chunks.repartition("source", "place", "doc_id", "chunk")
+    first = F.col("chunk") * COPIES
+    nth = F.explode(F.sequence(first, F.least(first + COPIES, F.col("copies")) - 1))
+    return chunks.withColumn("nth", nth).select(
+        "doc_id", "source", "place", "size", "source_size", "target", "budget", (F.col("last") - F.col("nth") * F.col("size")).alias("end"),
     )
 
 
+def _packet(lap: int) -> tuple[Column, Column]:
+    """A document's place in its source's queue, laps included, and its virtual finish time."""
+    at = F.col("end") + lap * F.col("source_size")
+    return at, at / F.col("target")
+
+
+def budget_end(ends: DataFrame, laps: int) -> tuple | None:
+    """The packet that the budget ends in, as (virtual finish time, source, place in the queue, tokens
+    of it within the budget); None if all packets are within the budget."""
+    packet = [F.struct(_packet(lap)[1].alias("time"), _packet(lap)[0].alias("at")) for lap in range(laps)]
+    packets = ends.where("size > 0 and target > 0").select("source", "size", "budget", F.explode(F.array(*packet)).alias("p"))
+    packets = packets.select("source", "size", "budget", "p.time", "p.at")
+    r = packets.agg(F.min("time"), F.max("time"), F.sum("size"), F.count("*"), F.first("budget")).first()
+    low, high, total, n, budget = r
+    if not n or total <= (budget := int(budget)):
+        return None
+    left = budget
+    inside = packets
+    while n > FEW and high > low:
+        width = (high - low) / SLICES
+        slot = F.least(F.floor((F.col("time") - low) / width), F.lit(SLICES - 1)).cast("int")
+        rows = inside.groupBy(slot.alias("slot")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("time").alias("a"), F.max("time").alias("b")).collect()
+        for row in sorted(rows, key=lambda x: x.slot):  # at most SLICES rows
+            if left < row["size"]:
+                break
+            left -= row["size"]
+        low, high, n = row.a, row.b, row.n
+        inside = packets.where(F.col("time").between(low, high))
+    order = [F.col("time"), F.col("source").isNull(), F.col("source"), F.col("at")]
+    run = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # FEW packets
+    found = inside.withColumn("run", run).where(F.col("run") > left).orderBy(*order).first()
+    return found.time, found.source, found["at"], left - (found.run - found["size"])
+
+
+def _sent(lap: int, end: tuple | None) -> Column:
+    """The tokens of a document's packet that are sent within the budget."""
+    at, time = _packet(lap)
+    if end is None:
+        return F.when(F.col("target") > 0, F.col("size")).otherwise(0)
+    last_time, source, last_at, part = end
+    same = F.col("source").eqNullSafe(F.lit(source))
+    if source is None:  # comes last
+        earlier_source = F.col("source").isNotNull()
+    else:
+        earlier_source = F.coalesce(F.col("source") < F.lit(source), F.lit(False))
+    before = (time < last_time) | ((time == last_time) & (earlier_source | (same & (at < last_at))))
+    crossing = (time == last_time) & same & (at == last_at)
+    return F.when(F.col("target") <= 0, 0).when(before, F.col("size")).when(crossing & (F.col("size") > 0), F.lit(part)).otherwise(0)
+
+
 def schedule(
     documents: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -124,18 +195,14 @@ def schedule(
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and virtual_finish (of the first lap).
 
-    taken counts the words of the document that are sent before virtual time 1 in all laps; the
-    document that a source is sending at time 1 is cut there, so a source's taken words are its
-    target rounded down.
+    taken counts the words of the document in all laps that lie within the budget in the global order
+    of virtual finish times.
     """
     base, slots, _ = _slots(documents, weights, share, most, slot_documents)
-    limit = F.floor("target").cast("long")
-    start = F.col("end") - F.col("size")
-    zero = F.lit(0).cast("long")
-    taken = zero
-    for lap in range(_laps(most)):
-        taken = taken + F.greatest(zero, F.least(F.col("size"), limit - start - lap * F.col("source_size")))
-    return _ends(base, slots).select(
+    ends = cut(_ends(base, slots), "mix-ends")
+    end = budget_end(ends, _laps(most))
+    taken = sum((_sent(lap, end) for lap in range(_laps(most))), F.lit(0)).cast("long")
+    return ends.select(
         "doc_id", "source", "size", "source_size", "target", taken.alias("taken"),
         F.when(F.col("target") > 0, F.col("end") / F.col("target")).alias("virtual_finish"),
     )
@@ -154,17 +221,17 @@ def materialise(
 ) -> DataFrame:
     """The mix itself: whole rows of documents, repeated by lap, in the global order.
 
-    Rows are not cut: the document that a source is sending at time 1 is taken if half of it or
-    more lies before. Documents of a source are taken in order of their place, so each lap has one
-    greatest place per source; the texts meet only the small table of slots and are shuffled once,
-    by the range sort on virtual time (which inside a slot follows the place).
+    Rows are not cut: the packet that the budget ends in is taken if half of it or more lies within.
+    Documents of a source are taken in order of their place, so each lap has one greatest place per
+    source; the texts meet only the small table of slots and are shuffled once, by the range sort on
+    virtual time (which inside a slot follows the place).
     """
     base, slots, n_slots = _slots(documents, weights, share, most, slot_documents)
-    ends = _ends(base, slots)
-    middle = F.col("end") - F.col("size") / 2
+    ends = cut(_ends(base, slots), "mix-ends")
+    end = budget_end(ends, _laps(most))
     last = ends.groupBy("source").agg(
         *[
-            F.max(F.when(middle + lap * F.col("source_size") <= F.col("target"), F.col("place"))).alias(f"last{lap}")
+            F.max(F.when(2 * _sent(lap, end) >= F.greatest(F.col("size"), F.lit(1)), F.col("place"))).alias(f"last{lap}")
             for lap in range(_laps(most))
         ]
     )
@@ -193,8 +260,7 @@ def materialise(
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
-         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+')) AS size,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS place
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -209,13 +275,20 @@ l AS (
   FROM w WINDOW before AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, (budget - caps_before) / weight_left AS fill FROM l),
 x AS (SELECT (SELECT fill FROM f WHERE fill <= level ORDER BY level, fill LIMIT 1) AS water),
-t AS (SELECT source, source_size, CASE WHEN water IS NULL THEN cap ELSE least(cap, weight * water) END AS target FROM f, x),
+t AS (SELECT source, source_size, budget, CASE WHEN water IS NULL THEN cap ELSE least(cap, weight * water) END AS target FROM f, x),
 e AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS begun
-  FROM d)
-SELECT e.doc_id, e.source, CAST(e.size AS BIGINT) AS size, t.source_size, t.target,
-       CAST(greatest(0, least(e.size, CAST(floor(t.target) AS BIGINT) - begun))
-          + greatest(0, least(e.size, CAST(floor(t.target) AS BIGINT) - begun - t.source_size)) AS BIGINT) AS taken,
-       CASE WHEN t.target > 0 THEN (begun + e.size) / t.target END AS virtual_finish
-FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source
+  SELECT *, row_number() OVER () AS id,
+         sum(size) OVER (PARTITION BY source ORDER BY place, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS ending
+  FROM d),
+p AS (
+  SELECT e.id, e.doc_id, e.source, e.size, t.source_size, t.target, t.budget, lap, ending, ending + lap * t.source_size AS pos
+  FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) laps(lap)),
+g AS (
+  SELECT *, sum(CASE WHEN target > 0 THEN size ELSE 0 END) OVER (ORDER BY CASE WHEN target > 0 THEN pos / target ELSE 0 END, source IS NULL, source, pos
+    ROWS UNBOUNDED PRECEDING) AS run
+  FROM p),
+k AS (SELECT *, CASE WHEN target > 0 THEN greatest(0, least(size, CAST(floor(budget) AS BIGINT) - (run - size))) ELSE 0 END AS part FROM g)
+SELECT doc_id, source, CAST(any_value(size) AS BIGINT) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+       CAST(sum(part) AS BIGINT) AS taken, CASE WHEN any_value(target) > 0 THEN any_value(ending) / any_value(target) END AS virtual_finish
+FROM k GROUP BY id, doc_id, source
 """
