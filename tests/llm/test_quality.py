@@ -1,9 +1,12 @@
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidefold.llm import quality
+from tidefold.llm import textvec as tv
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,6 +63,55 @@ def test_odd_rows(spark, model):
     assert [(i, c) for i, c, _ in got] == want
 
 
+def test_training_and_scoring_see_the_same_features(spark, model):
+    texts = ["a b c d e", "été où ça\nñandú 日本語 текст 🙂🙂 x", "", "x", "word " * 300, None, "日本語テキスト " * 400_000, "é", "abcé"]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "quality": [1] * len(texts), "h": [0] * len(texts)})
+    trained = [np.frombuffer(a, np.int32) for a in quality._features(batch, 16).column("ids").to_pylist()]
+    shares = [np.frombuffer(a, np.float32) for a in quality._features(batch, 16).column("shares").to_pylist()]
+    want = [float(model.weights[i] @ s.astype(float)) + model.bias for i, s in zip(trained, shares, strict=True)]
+    got = []
+    for s in tv.slices(batch.column("text")):
+        w = tv.words(s)
+        got += quality._margins(s, w, tv.hash_spans(s.data, w.starts, w.ends), model, 16).tolist()
+    assert got == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_character_grams_are_of_code_points():
+    texts = ["été où", "日本語テキスト", "a🙂b🙂c", "plain ascii", "x", ""]
+    for s in tv.slices(pa.array(texts)):
+        c, bounds = quality._characters(s)
+        assert np.diff(bounds).tolist() == [len(t) for t in texts]
+        names = {}
+        for t, a in zip(texts, bounds, strict=False):
+            for i, x in enumerate(t):
+                assert names.setdefault(x, c[a + i]) == c[a + i]
+        assert len(set(names.values())) == len(names)
+
+
+def test_sample_is_bounded_and_taken_after_the_join(spark):
+    n = 400
+    docs = spark.createDataFrame([(i, f"good text {i}" if i % 4 else f"bad text {i}") for i in range(n)] + [(1, "good text 1")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(-5000, n)] + [(2, 0), (None, 1)], "doc_id long, quality int")
+    for most in (40, 150, 1000):
+        sample, found = quality.labelled_sample(docs, labels, most)
+        rows = sample.collect()
+        assert found == {0: 100, 1: n - 101}
+        assert len(rows) == min(most, n - 1) == len({r.text for r in rows})
+        assert sum(r.quality == 0 for r in rows) == min(most // 2, 100)
+        assert all(r.quality == r.text.startswith("good") for r in rows)
+    assert quality.fit(docs, labels, 40).fitted
+
+
+def test_few_labels_still_fit(spark):
+    docs = spark.createDataFrame([(1, "nice words of good prose"), (2, "### $$$ %%% ###"), (3, "more nice words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert model.fitted and model.slope > 0
+    q = {r.doc_id: r.quality for r in quality.judge(docs, model).collect()}
+    assert q[1] > q[2] < q[3]
+    assert not quality.fit(docs, labels.where("quality = 1")).fitted
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")

@@ -1,14 +1,18 @@
 """Quality rules: fixed base rules, then a hashed word and character n-gram logistic regression.
 
-The model is fitted on labelled rows (a bounded, hash-ordered sample of at most `max_labelled`),
-its probabilities are calibrated on held-out labelled rows (Platt scaling), and every document is
-scored in Arrow batches against a fixed threshold. Only the weight vector, of a fixed size, goes
-to the executors; texts are never shuffled.
+The model is fitted on labelled rows: at most `max_labelled` of those that are both in the labels and in
+the documents, half of them from each class as far as there are so many, those with the least hashes.
+Its probabilities are calibrated on a held-out fifth of each class (Platt scaling, then moved to the shares
+that the classes have of all labelled documents), and every document is scored
+in Arrow batches against a fixed threshold. Only the weight vector, of a fixed size, goes to
+the executors; texts are never shuffled, but for the labelled sample.
 
 Defined results: null text counts as empty, so it has no words and fails the base rules; rows with
 a null or repeated doc_id are judged like any other row; labels that are null or contradict each
-other for one doc_id are not used; without labelled rows of both classes the model accepts every
-text (probability 1). Extra columns are ignored.
+other for one doc_id are not used, and labelled rows that repeat both doc_id and text count once. A
+class with fewer than five labelled rows holds none out, and the calibration then uses the training
+rows of both classes. There is no model without labelled rows of both classes: it accepts every text
+(probability 1). Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +20,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,15 +56,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -500, 500)))
 
 
+def _characters(s: tv.Slice) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character of a slice (its UTF-8 bytes), and the texts' bounds in characters."""
+    d = s.data.astype(np.uint32)
+    follows = (s.data & 0xC0) == 0x80
+    if not follows.any():
+        return d, s.bounds
+    leads = np.flatnonzero(~follows)
+    ends = np.append(leads[1:], len(d))
+    out = d[leads]
+    for k in (1, 2, 3):
+        more = np.flatnonzero(leads + k < ends)
+        out[more] |= d[leads[more] + k] << np.uint32(8 * k)
+    return out, np.searchsorted(leads, s.bounds)
+
+
 def _grams(s: tv.Slice, w: tv.Words, h: np.ndarray, bits: int):
-    """Bucket arrays with each text's range in them: word 1- and 2-grams, byte 4-grams."""
+    """Bucket arrays with each text's range in them: word 1- and 2-grams, character 4-grams."""
     half = np.uint64(64 - (bits - 1))
     one = (tv.mix(h + np.uint64(1)) >> half).astype(np.int32)
     two = (tv.mix(h[:-1] * np.uint64(0x9FB21C651E98DF25) + h[1:]) >> half).astype(np.int32)
-    d = s.data.astype(np.uint32)
-    if len(d) >= 4:
-        four = d[:-3] | d[1:-2] << np.uint32(8) | d[2:-1] << np.uint32(16) | d[3:] << np.uint32(24)
-        four *= np.uint32(0x9E3779B1)
+    c, bounds = _characters(s)
+    if len(c) >= 4:
+        four = c[:-3] * np.uint32(0x9E3779B1) + c[1:-2] * np.uint32(0x85EBCA77) + c[2:-1] * np.uint32(0xC2B2AE3D) + c[3:] * np.uint32(0x27D4EB2F)
         four ^= four >> np.uint32(15)
         four *= np.uint32(0x85EBCA6B)
         chars = (four >> np.uint32(32 - (bits - 1))).astype(np.int32) + (1 << (bits - 1))
@@ -69,7 +86,7 @@ def _grams(s: tv.Slice, w: tv.Words, h: np.ndarray, bits: int):
         chars = np.zeros(0, np.int32)
     yield one, w.first[:-1], w.first[1:]
     yield two, w.first[:-1], w.first[1:] - 1
-    yield chars, s.bounds[:-1], s.bounds[1:] - 3
+    yield chars, bounds[:-1], bounds[1:] - 3
 
 
 def _margins(s: tv.Slice, w: tv.Words, h: np.ndarray, model: Model, bits: int) -> np.ndarray:
@@ -200,6 +217,26 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-6) / scale, b
 
 
+def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[DataFrame, dict[int, int]]:
+    """text, quality, h of at most max_labelled labelled documents, see the module; and the numbers of
+    all labelled documents by class."""
+    clear = (
+        labels.where("doc_id is not null and quality is not null")
+        .groupBy("doc_id")
+        .agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
+        .where("quality = other")
+        .select("doc_id", (F.col("quality") > 0).cast("int").alias("quality"))
+    )
+    docs = documents.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("th"))
+    found = cut(docs.select("doc_id", "th").join(clear, "doc_id").distinct().withColumn("h", F.xxhash64("doc_id", "th")), "labelled")
+    n = {q: 0 for q in (0, 1)} | {r.quality: r["count"] for r in found.groupBy("quality").count().collect()}
+    half = max_labelled // 2
+    least = lambda q: found.where(F.col("quality") == q).orderBy("h", "doc_id").limit(max(half, max_labelled - n[1 - q]))
+    chosen = least(0).union(least(1)).limit(max_labelled)
+    # bounded by max_labelled rows of four numbers, so it can be broadcast; repeated rows count once
+    return docs.join(F.broadcast(chosen), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("text", "quality", "h"), n
+
+
 def fit(
     documents: DataFrame,
     labels: DataFrame,
@@ -208,34 +245,26 @@ def fit(
     threshold: float = 0.5,
     epochs: int = 60,
 ) -> Model:
-    """Fit on at most `max_labelled` labelled documents, those with the smallest hash of doc_id;
-    a fifth of them is held out for calibration."""
-    clear = (
-        labels.where("doc_id is not null and quality is not null")
-        .groupBy("doc_id")
-        .agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
-        .where("quality = other")
-        .select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("h"))
-    )
-    chosen = clear.orderBy("h", "doc_id").limit(max_labelled)
-    docs = documents.select("doc_id", "text").where("text is not null")
-    # the sample is bounded by max_labelled rows of three numbers, so it can be broadcast
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("text", "quality", "h")
+    """Fit on at most `max_labelled` labelled documents; a fifth of each class is held out for
+    calibration."""
     size = 1 << bits
-    got = map_arrow(
-        sample, lambda b: _features(b, bits), "quality int, h long, ids binary, shares binary"
-    ).collect()
+    sample, found = labelled_sample(documents, labels, max_labelled)
+    got = map_arrow(sample, lambda b: _features(b, bits), "quality int, h long, ids binary, shares binary").collect()
     got.sort(key=lambda r: (r.h, bytes(r.ids)))
-    empty = Model(np.zeros(size, np.float32), 0.0, 1.0, 0.0, threshold, False)
-    y = np.array([float(r.quality > 0) for r in got])
-    held = np.array([r.h % 5 == 0 for r in got], bool)
-    if len(got) < 20 or len(set(y[~held])) < 2 or len(set(y[held])) < 2:
-        return empty
+    y = np.array([float(r.quality) for r in got])
+    if len(set(y)) < 2:
+        return Model(np.zeros(size, np.float32), 0.0, 1.0, 0.0, threshold, False)
+    held = np.zeros(len(y), bool)
+    for q in (0, 1):
+        held[np.flatnonzero(y == q)[4::5]] = True
     rows = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.shares, np.float32)) for r in got]
     train = np.flatnonzero(~held)
+    if len(set(y[held])) < 2:
+        held = ~held
     w, b = _logistic([rows[i] for i in train], y[train], size, epochs, 1e-7)
     margin = np.array([float(w[rows[i][0]] @ rows[i][1]) + b for i in np.flatnonzero(held)])
     slope, shift = _platt(margin, y[held])
+    shift += np.log((found[1] / (y == 1).sum()) / (found[0] / (y == 0).sum()))  # the classes' own shares, not the sample's
     return Model(w.astype(np.float32), b, slope, shift, threshold, True)
 
 
@@ -279,9 +308,8 @@ def judge_column(model: Model):
     """A vectorised predicate on text with the verdict of `judge`, for filtering whole rows."""
     bits = int(len(model.weights)).bit_length() - 1
 
-    @F.pandas_udf("boolean")
-    def kept(text: pd.Series) -> pd.Series:
-        texts = pa.array(text.where(text.notna(), None), pa.large_string())
-        return pd.Series(_verdicts(texts, model, bits)["kept"] if len(texts) else [], dtype=bool)
+    @F.arrow_udf("boolean")
+    def kept(text: pa.Array) -> pa.Array:
+        return pa.array(_verdicts(text, model, bits)["kept"] if len(text) else [], pa.bool_())
 
     return kept

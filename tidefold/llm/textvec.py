@@ -149,5 +149,6 @@ def range_sums(values: np.ndarray, first: np.ndarray, until: np.ndarray) -> np.n
     """Sums of values[first[i]:until[i]]."""
     run = np.zeros(len(values) + 1, np.float64)
     np.cumsum(values, dtype=np.float64, out=run[1:])
+    first = np.minimum(first, len(values))
     until = np.maximum(first, np.minimum(until, len(values)))
-    return run[until] - run[np.minimum(first, len(values))]
+    return run[until] - run[first]
