@@ -98,6 +98,13 @@ def test_small_memories_change_nothing(most):
     assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_long_runs_are_not_remembered():
+    e = WordEncoder(PATH)
+    text = " ".join(["x" * 400_000, "y" * 65 + ".", "!" * 300, "short"])
+    assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert max(map(len, [*e, *e.words])) <= e.LONGEST and "short" in e
+
+
 def test_step_groups_span_partitions_and_flushes(spark):
     docs = spark.range(1200).selectExpr("id as doc_id", "repeat('word ', 10 + cast(id * 37 % 700 as int)) as text").repartition(6)
     rows = packing.pack(docs, shard_tokens=20_000, group_tokens=1 << 14).collect()

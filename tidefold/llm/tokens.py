@@ -24,9 +24,12 @@ class WordEncoder(dict):
     Such a tokenizer treats each white-space separated run by itself, so runs are encoded once and
     remembered. Runs of plain Latin words and ASCII punctuation go straight to the tokenizer's own
     model, piece by piece of its split pattern; any other run takes its full path. Words without the
-    punctuation after them are remembered apart. Each memory has two generations of bounded size.
+    punctuation after them are remembered apart. Each memory has two generations of bounded size, and
+    runs of more than LONGEST characters are not remembered.
     """
 
+    LONGEST = 64
+
     #: The split pattern of the tokenizer file, for the characters of PLAIN.
     SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
     PUNCTUATION = string.punctuation
@@ -34,7 +37,7 @@ class WordEncoder(dict):
 
     _shared: ClassVar[dict[str, WordEncoder]] = {}
 
-    def __init__(self, path: str, most: int = 120_000, most_words: int = 250_000) -> None:
+    def __init__(self, path: str, most: int = 80_000, most_words: int = 120_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,6 +66,8 @@ class WordEncoder(dict):
                 got = self._word(core) + self[run[len(core) :]]
             else:
                 got = self._word(core)
+        if len(run) > self.LONGEST:
+            return got
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -74,6 +79,8 @@ class WordEncoder(dict):
         if (got := self.words.get(word)) is None:
             if (got := self.old_words.get(word)) is None:
                 got = self._encode_run(word)
+            if len(word) > self.LONGEST:
+                return got
             if len(self.words) >= self.most_words:
                 self.old_words, self.words = self.words, {}
             self.words[word] = got
