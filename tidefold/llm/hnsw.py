@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: one hierarchical navigable small-world graph per shard.
 
 Distinct vectors are dealt to shards of about `shard_size` by a hash; each shard's graph is built by
-one task and stored as flat neighbour arrays (one row per shard, Parquet in the shared folder).
-Queries meet every shard in blocks, and the shard results are merged by score.
+one task and stored as flat neighbour arrays (one row per shard, Parquet in the shared folder). The
+queries go to the shared folder too. A shard stays in the task that reads it, and the queries pass it
+in blocks; only the k hits of each query and shard are shuffled, and merged by score.
 
 Building: a vector's level is drawn from its hash; on each level the candidates of a node are its
 nearest nodes there (blocked matrix products inside the shard, whose size is bounded), thinned by the
@@ -19,17 +20,23 @@ out its own id). A query with fewer than k candidates gets them all. Extra colum
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_batches, stored
 
 SHARD = 8192
 NEAR, UPPER, CANDIDATES = 24, 12, 48
 BLOCK = 1024
-QUERY_BLOCK = 4096
+#: Queries that search a shard together.
+QUERY_BLOCK = 256
 
 INDEX = "dim int, shard long, size long, vectors binary, ids binary, id_ends binary, levels array<struct<nodes:binary,ends:binary,links:binary>>"
 FOUND = "query_id long, vec_id long, score double"
@@ -209,8 +216,13 @@ def build(embeddings: DataFrame, k: int = 5, shard_size: int = SHARD) -> DataFra
     sizes = vectors.groupBy(F.size("v").alias("dim")).agg(
         F.greatest(F.lit(1), F.ceil(F.count("*") / shard_size)).cast("long").alias("shards")
     )
-    dealt = vectors.withColumn("dim", F.size("v")).join(sizes, "dim").select(
-        "dim", F.pmod("h1", "shards").alias("shard"), "h2", "v", "ids"
+    sizes = cut(sizes, "ann-sizes")
+    shards = max(1, sizes.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0])
+    dealt = (
+        vectors.withColumn("dim", F.size("v"))
+        .join(sizes, "dim")
+        .select("dim", F.pmod("h1", "shards").alias("shard"), "h2", "v", "ids")
+        .repartition(shards, "dim", "shard")  # by number: a task for each shard, however few bytes it has
     )
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -230,44 +242,47 @@ def build(embeddings: DataFrame, k: int = 5, shard_size: int = SHARD) -> DataFra
     return cut(dealt.groupBy("dim", "shard").applyInPandas(one, INDEX), "ann-index")
 
 
+def _blocks(path: str, rows: int) -> Iterator[tuple[np.ndarray, list]]:
+    """query_id and vectors of a table in the shared folder, a few rows at a time."""
+    store, at = pafs.FileSystem.from_uri(path)
+    for name in sorted(f.path for f in store.get_file_info(pafs.FileSelector(at)) if f.path.endswith(".parquet")):
+        with store.open_input_file(name) as file:
+            for batch in pq.ParquetFile(file).iter_batches(rows, columns=["query_id", "v"]):
+                yield batch.column("query_id").to_numpy(), batch.column("v").to_pylist()
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = 5, ef: int = 96, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each query (query_id, v)."""
-    n_blocks = max(1, -(-queries.count() // block))
-    q = queries.select(
-        "query_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block")
-    )
-    shards = index.select(F.col("dim").alias("d"), F.col("shard").alias("s"))
-    asked = q.join(shards, F.col("dim") == F.col("d")).select("dim", F.col("s").alias("shard"), "block", "query_id", "v")
-    numbers = F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))
-    parts = index.select("*", F.explode(numbers).alias("block"))
-
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        r = left.iloc[0]
-        x = np.frombuffer(r["vectors"], np.float64).reshape(r["size"], r["dim"])
-        ids, ends = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["id_ends"], np.int64)
-        starts = np.concatenate([[0], ends[:-1]])
-        levels = [tuple(np.frombuffer(lv[n], np.int32) for n in ("nodes", "ends", "links")) for lv in r["levels"]]
-        out = []
-        for a in range(0, len(right), 256):
-            some = right.iloc[a : a + 256]
-            q = np.stack(some["v"].to_numpy())
-            got = search_shard(q, x, levels, ef)[:, : 2 * k + 2]
-            score = cosine(q[:, None, :], x[np.maximum(got, 0)])
-            for i, query in enumerate(some["query_id"].to_numpy()):
-                best = [
-                    (-s, int(v))
-                    for node, s in zip(got[i], score[i], strict=True)
-                    if node >= 0
-                    for v in ids[starts[node] : ends[node]]
-                    if v != query
-                ]
-                out += [(query, v, -s) for s, v in sorted(best)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    keys = ["dim", "shard", "block"]
-    found = parts.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(one, FOUND)
+    _, path = stored(queries.select("query_id", "v"), "ann-queries")
+    base = path if "://" in path else f"file://{path}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in (r for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+            x = np.frombuffer(r["vectors"], np.float64).reshape(r["size"], r["dim"])
+            ids, ends = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["id_ends"], np.int64)
+            starts = np.concatenate([[0], ends[:-1]])
+            levels = [tuple(np.frombuffer(lv[n], np.int32) for n in ("nodes", "ends", "links")) for lv in r["levels"]]
+            for names, vectors in _blocks(base, block):
+                own = [i for i, v in enumerate(vectors) if len(v) == r["dim"]]
+                if not own:
+                    continue
+                q = np.array([vectors[i] for i in own])
+                got = search_shard(q, x, levels, ef)[:, : 2 * k + 2]
+                score = cosine(q[:, None, :], x[np.maximum(got, 0)])
+                out = []
+                for i, query in enumerate(names[own].tolist()):
+                    best = [
+                        (-s, v)
+                        for node, s in zip(got[i], score[i], strict=True)
+                        if node >= 0
+                        for v in ids[starts[node] : ends[node]].tolist()
+                        if v != query
+                    ]
+                    out += [(query, v, -s) for s, v in sorted(best)[:k]]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+
+    found = map_batches(index, run, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.distinct()
