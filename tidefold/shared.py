@@ -19,7 +19,9 @@ def root(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tidefold-')}"
         spark.conf.set("tidefold.shared.dir", base)
-    return base.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)  # with its scheme, for readers other than Spark
+    path = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/(?!/)", "file:///", path).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
