@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import attribution, hnsw, licenses, lmscore, mixing, neardup, packing, quality, urlmodel, warc
@@ -70,7 +69,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_packing": op9_packing,
         "op10_mixing": op10_mixing,
-        "pipeline": corpus_pipeline.run,
     }
 
 
