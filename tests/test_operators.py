@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidefold import shared
 from tidefold.functions import codec, hlc
 from tidefold.operators import authz, batch, feed, fold, fsview, merge, ops, secidx
 from tidefold.plans import jsonschema
@@ -112,7 +113,7 @@ def test_batch_results_see_the_whole_batch(spark):
     state = spark.createDataFrame([("n", "b1", b"hi")], "ns string, key string, value binary")
     got = {r.idx: r for r in batch.results(batch.validated(req), state, 9).collect()}
     assert (got[0].seq, got[1].value_b64, got[7].value_b64) == (9, "aGk", None)
-    assert [got[i].error for i in range(2, 7)] == ["bad_value_b64", "missing_value_b64", "missing_key", "unknown_op", "schema_violation"]
+    assert [got[i].error for i in range(2, 7)] == ["bad_value_b64", "missing_value_b64", "missing_key", "unknown_op", "schema_violation: $: bad"]
     assert batch.size_estimate(req.where("idx < 2")).first().bytes == 93 + 2 + 3
 
 
@@ -133,13 +134,15 @@ def test_definitions_take_the_newest_clock(spark):
 
 
 SCHEMAS = [
-    ({"type": "object", "properties": {"title": {"type": "string", "minLength": 1}}, "required": ["title"], "additionalProperties": False},
-     [{"title": "hi"}], [{"title": ""}, {"title": "ok", "extra": 1}, {"other": 1}, [1, 2]]),
-    ({"type": "array", "items": {"type": "integer"}, "minItems": 1, "uniqueItems": True}, [[1, 2, 3]], [[], [1, 1], [1, 2.5]]),
-    ({"type": "number", "minimum": 0, "exclusiveMaximum": 100, "multipleOf": 5}, [50], [3, -1, 100]),
-    ({"enum": ["a", "b", 5]}, ["a", 5], ["c", 5.0]),
-    ({"anyOf": [{"type": "string"}, {"type": "integer"}]}, ["x", 5], [True]),
-    ({"type": "string", "not": {"enum": ["blocked"]}}, ["ok"], ["blocked"]),
+    ({"type": "object", "properties": {"name": {"type": "string", "maxLength": 4}, "age": {"type": "integer"}}, "required": ["name"], "additionalProperties": False},
+     [{"name": "ada"}, {"name": "", "age": 7}], [{"age": 7}, {"name": "adaline"}, {"name": "bo", "age": 7.5}, {"name": "bo", "town": "x"}, "name"]),
+    ({"additionalProperties": {"type": "boolean"}, "minProperties": 1, "maxProperties": 2}, [{"a": True}, 9], [{}, {"a": 1}, {"a": True, "b": True, "c": True}]),
+    ({"type": "array", "items": {"type": ["string", "null"]}, "maxItems": 3, "uniqueItems": True}, [[], ["a", None]], [["a", "a"], [1], ["a", "b", "c", "d"]]),
+    ({"type": "number", "exclusiveMinimum": 2, "maximum": 9, "multipleOf": 0.5}, [2.5, 9], [2, 9.5, 3.3, "3"]),
+    ({"enum": [None, [1, 2], {"a": 1}]}, [None, [1, 2], {"a": 1}], [[1, 2.0], [2, 1], {"a": True}, 0]),
+    ({"const": 3}, [3], [3.0, "3", True]),
+    ({"anyOf": [{"type": "null"}, {"type": "array", "minItems": 2}]}, [None, [1, 2]], [[1], "x"]),
+    ({"allOf": [{"type": "integer"}, {"minimum": 3}], "not": {"const": 5}}, [4, 6], [2, 5, 4.5]),
     ({"maxLength": 2}, ["é"], ["ééé", "abc"]),
     ({"oneOf": [{"minimum": 1}, {"maximum": 5}]}, [0, 9], [3]),
     (False, [], [1]),
@@ -152,7 +155,7 @@ def test_json_schema(schema, good, bad):
     assert all(check(x, "$") is None for x in good) and all(check(x, "$") for x in bad)
 
 
-@pytest.mark.parametrize("schema", [{"pattern": "a"}, {"$ref": "#"}, {"type": "text"}, {"items": {"format": "date"}}, 3])
+@pytest.mark.parametrize("schema", [{"pattern": "a"}, {"$schema": "x"}, {"$id": "x"}, {"$ref": "#"}, {"type": "text"}, {"items": {"format": "date"}}, 3])
 def test_unsupported_schemas(schema):
     with pytest.raises(jsonschema.UnsupportedSchema):
         jsonschema.compile_schema(schema)
@@ -188,9 +191,14 @@ def test_authorization_tiers_and_revocation(spark):
     allowed = lambda now: {r.id for r in authz.authorized(req, authz.valid_caps(caps, ring, gone, now)).collect()}
     assert allowed(10) == {1, 3, 4} and allowed(50) == {1, 3}
     assert {r.issuer for r in authz.rotate(ring, "new", False).collect()} == {"root", "new"}
-    hello = spark.createDataFrame([("x", "1"), ("y", "1"), ("z", "1"), ("w", "2")], "name string, offered_pin string")
-    peers = spark.createDataFrame([("x", "1"), ("y", ""), ("w", "1")], "name string, pin string")
-    assert {r.name: r.access for r in authz.peer_access(hello, peers).collect()} == {"x": "Full", "y": "HelloOnly", "z": "Deny", "w": "Deny"}
+    # the pin counts over all peers, whatever name was dialled
+    hello = spark.createDataFrame([("x", "1"), ("y", "9"), ("z", "1"), ("w", "2"), (None, "3"), ("v", "9")], "name string, offered_pin string")
+    peers = spark.createDataFrame([("x", "1"), ("y", ""), ("w", "3")], "name string, pin string")
+    got = {r.name: r.access for r in authz.peer_access(hello, peers).collect()}
+    assert got == {"x": "Full", "y": "HelloOnly", "z": "Full", "w": "Deny", None: "Full", "v": "Deny"}
+    assert authz.scope_url("h", "l2", "data", "a/b") == "kv://h/l2/data/a/b" and authz.scope_url("h", "l1", "x") == "kv://h/l1/x"
+    assert tuple(one(spark, authz.scope_parts(F.lit(authz.scope_url("h", "l3", u + "b" * 56, "p"))))[0]) == ("h", "l3", u + "b" * 56, "p")
+    assert [authz.scan_allowed(p, "a") for p in ("a", "a/", "a/b", "ab", "")] == [True, True, True, False, False] and authz.scan_allowed("", None)
 
 
 def test_file_view(spark):
@@ -322,3 +330,103 @@ def test_streamed_state_equals_the_batch_fold(spark, tmp_path):
     want = fold.state(spark.createDataFrame(data, schema), 0).select("key", "value")
     assert sorted(got.collect()) == sorted(want.collect()) == [("k", "1"), ("x", "5")]
     assert [stream.backoff_ms(n) for n in (0, 2, 5, 9)] == [1000, 4000, 30000, 30000]
+
+
+def test_small_helpers(spark):
+    rows = [("n", "k", 1, 1, 0, A, 10), ("n", "k", 2, 2, 0, B, 0), ("m", "k", 1, 1, 0, A, 0)]
+    schema = "ns string, key string, seq long, hlc long, pos int, replica binary, expires_at long"
+    data = spark.createDataFrame(rows, schema).withColumns({"tag": F.lit(1), "author": F.col("replica"), "value": F.lit("v")})
+    both = fold.state_by_policy(data, spark.createDataFrame([("n", "register"), ("m", "lww")], "ns string, policy string"), 5, "local")
+    assert sorted((r.ns, r.seq) for r in both.collect()) == [("m", 1), ("n", 2)]
+    kept = fold.conflict_versions(fold.register_versions(data)).collect()
+    assert [(r.ns, [v.seq for v in r.versions]) for r in kept] == [("n", [1, 2])]
+    assert one(spark, secidx.clean_fields(F.array(F.lit("a"), F.lit(""), F.lit("b"), F.lit("a")))) == (["a", "b"],)
+
+
+def test_long_batches_are_refused_and_quota_matches_a_loop(spark):
+    long = spark.range(1001).selectExpr("'x' as ns", "id as idx", "1 as cost", "0 as used")
+    costs = [(i * 37) % 90 for i in range(200)]
+    rows = spark.createDataFrame([("n", i, c, 5) for i, c in enumerate(costs)], "ns string, idx long, cost long, used long")
+    got = {(r.ns, r.idx): r.ok for r in batch.quota(rows.unionByName(long), 900).collect()}
+    used, want = 5, {}
+    for i, c in enumerate(costs):
+        want["n", i] = used + c <= 900
+        used += c * want["n", i]
+    assert {k: v for k, v in got.items() if k[0] == "n"} == want
+    assert len(got) == 1201 and not any(v for k, v in got.items() if k[0] == "x")
+
+
+def test_numbering_spreads_one_group_with_long_shared_prefixes(spark):
+    rows = spark.range(5000).selectExpr("'n' as ns", "concat('https://example.com/', lpad(id * 7 % 5000, 5, '0')) as key", "id as seq", "0 as pos").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+    got = shared.cut(shared.numbered(rows, ["ns"], ["key", "seq", "pos"]).withColumn("part", F.spark_partition_id()), "numbered")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [r["count"] for r in got.groupBy("part").count().collect()]
+    assert [r.place for r in got.orderBy("key").collect()] == list(range(1, 5001)) and len(parts) > 1 and max(parts) < 4000
+    assert shared.numbered(rows.limit(0), ["ns"], ["key"]).count() == 0
+
+
+def test_shared_folder_is_refused_on_a_cluster(spark):
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared.root(Session)
+    Context.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared.root(Session)
+
+
+def test_feed_fields_policies_and_head_hash(spark, tmp_path):
+    good = binlog.frame(1, binlog.encode_payload(1, b"k", 5, A, B, b"val", 0), binlog.ZERO)
+    first = binlog.chain_hash(binlog.ZERO, good)
+    odd = binlog.frame(1, b"\x09\x00", first)
+    second = binlog.chain_hash(first, odd)
+    pair = binlog.encode_payload(6, None, 0, None, None, None, 0, [dict(tag=1, key=b"a", hlc=6, replica=A, author=A, value=b"", expires_at=0)] * 2)
+    last = binlog.frame(6, pair, second)
+    folder = tmp_path / "log" / "2_6e"
+    folder.mkdir(parents=True)
+    (folder / "log.0.seg").write_bytes(good + odd + last)
+    (folder / "policy.bin").write_bytes(b"\x01")
+    url = f"file://{tmp_path}/log"
+    with pytest.raises(Exception, match="Corrupt"):
+        binlog.read_log(spark, url).collect()
+    rows = binlog.read_log(spark, url, keep_unparsed=True)
+    got = [(r.seq, r.key_b64, r.value_b64, r.batch, r.ops, r.parse_error) for r in feed.change_fields(rows).orderBy("seq").collect()]
+    assert got == [(1, "aw", "dmFs", False, 0, False), (2, None, None, None, None, True), (3, "", "", True, 2, False)]
+    assert [tuple(r) for r in feed.heads(rows).collect()] == [("n", 3, binlog.chain_hash(second, last).hex())]
+    assert [tuple(r) for r in binlog.read_policies(spark, url).collect()] == [("n", "register")]
+    (folder / "policy.bin").write_bytes(b"\x07")
+    with pytest.raises(Exception, match="bad policy"):
+        binlog.read_policies(spark, url).collect()
+
+
+def test_file_writes(spark):
+    v, add = F.lit(b"12345"), F.lit(b"ab")
+    got = one(spark, fsview.written(v, add), fsview.written(v, add, 1), fsview.written(v, add, 4), fsview.written(v, add, 7), fsview.written(F.lit(None), add, 0))
+    assert [bytes(x) for x in got] == [b"12345ab", b"1ab45", b"1234ab", b"12345\0\0ab", b"ab"]
+    made = [fsview.made_dir(spark, "n", "d/e/", 1, A), fsview.created(spark, "n", "/d/f", 2, A), fsview.unlinked(spark, "n", "d/g", 3, A)]
+    assert [(r.tag, bytes(r.key), bytes(r.value)) for df in made for r in df.collect()] == [(1, b"d/e/", b""), (1, b"d/f", b""), (2, b"d/g", b"")]
+    tree = made[0].union(made[1]).select(F.col("key").cast("string").alias("path"), "value")
+    assert {(r.name, r.is_dir) for r in fsview.readdir(tree, "d").collect()} == {("e", True), ("f", False)}
+    assert fsview.readdir(tree, "d/e").isEmpty() and fsview.dir_exists(tree, "d/e")
+
+
+def test_a_gap_or_a_wrong_hash_breaks_a_batch(spark):
+    rows, prev = [], b"p" * 32
+    for i in range(6):
+        own = hashlib.sha256(prev + bytes([i])).digest()
+        rows.append(("n", i, prev, own, bytes([i])))
+        prev = own
+    schema = "ns string, seq long, prev binary, hash binary, bytes binary"
+    df = spark.createDataFrame(rows, schema)
+    assert merge.chain_breaks(df).isEmpty() and merge.gaps(df).isEmpty() and merge.verified_batches(df).first().ok
+    assert not merge.verified_batches(df.where("seq <> 3")).first().ok
+    swapped = df.withColumn("prev", F.when(F.col("seq") == 4, F.lit(b"x" * 32)).otherwise(F.col("prev")))
+    assert [r.seq for r in merge.chain_breaks(swapped).collect()] == [4]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import hlc
-from .operators import authz, batch, compact, feed, fold, fsview, merge, secidx
+from .operators import authz, batch, compact, feed, fold, fsview, merge, ops, secidx
 
 NOW = fx.NOW
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,13 +60,34 @@ def kv_tombstones(spark, d):
     return fold.tombstones(fx.event_ops(spark, d)).drop("ns")
 
 
-@query(
-    f"WITH {LOG}, {WINNER} SELECT {VERSION} FROM w WHERE {LIVE} AND NOT EXISTS "
-    "(SELECT 1 FROM log x WHERE x.tag = 2 AND x.event_id % 50 = 0 AND x.key = w.key)"
-)
+#: The log with a key for each user and day, so that not every key has a delete.
+DAILY = LOG.replace("concat('u/', lpad(CAST(user_id AS varchar), 6, '0')) AS key", "concat('u/', lpad(CAST(user_id AS varchar), 6, '0'), '/', CAST(epoch_us(ts) // 86400000000 AS varchar)) AS key")
+
+
+def _daily(spark, d):
+    return fx.event_ops(spark, d).withColumn("key", F.concat("key", F.lit("/"), F.floor(F.col("ms") / 86400000).cast("string")))
+
+
+@query(f"WITH {DAILY}, {WINNER} SELECT {VERSION} FROM w WHERE {LIVE} AND NOT EXISTS (SELECT 1 FROM log x WHERE x.tag = 2 AND x.key = w.key)")
 def kv_get_merge(spark, d):
-    ops = fx.event_ops(spark, d).where("tag <> 2 or event_id % 50 = 0")
-    return fold.state(ops, NOW).select(*COLS)
+    return fold.state(_daily(spark, d), NOW).select(*COLS)
+
+
+@query(f"WITH {DAILY}, {WINNER} SELECT {VERSION} FROM w WHERE {LIVE} AND NOT EXISTS (SELECT 1 FROM log x WHERE x.tag = 2 AND x.key = w.key)")
+def kv_checkpoint_tail(spark, d):
+    """A checkpoint of the first part of the log (tombstones included) and the rest, folded together."""
+    ops = _daily(spark, d)
+    first = F.col("event_id") % 3 == 0  # what had arrived by the checkpoint
+    return fold.state(compact.with_tail(compact.retained(ops.where(first)), ops.where(~first)), NOW).select(*COLS)
+
+
+@query(f"WITH {LOG}, {LOCAL}, m AS (SELECT max(seq) // 2 AS half FROM log) SELECT {VERSION} FROM s, m")
+def kv_checkpoint_tail_local(spark, d):
+    """The same for local mode, where the checkpoint is a prefix of the log: half of it."""
+    ops = fx.event_ops(spark, d)
+    half = ops.agg(F.floor(F.max("seq") / 2)).first()[0] or 0
+    snapshot = compact.retained(ops.where(F.col("seq") <= half), mode="local")
+    return fold.state(compact.with_tail(snapshot, ops.where(F.col("seq") > half)), NOW, mode="local").select(*COLS)
 
 
 @query(f"WITH {LOG}, {VERSIONS} SELECT {VERSION} FROM v")
@@ -176,7 +197,7 @@ def kv_sync_merge(spark, d):
 
 @query(f"WITH {LOG} SELECT seq, replica, event_type AS ns FROM log WHERE (replica, event_type) IN (('r0', 'view'), ('r1', 'click'), ('r2', 'view'))")
 def kv_allow_list(spark, d):
-    allow = spark.createDataFrame([("r0", "view"), ("r1", "click"), ("r2", "view")], "replica string, ns string")
+    allow = spark.sql("SELECT * FROM VALUES ('r0', 'view'), ('r1', 'click'), ('r2', 'view') AS t(replica, ns)")
     return merge.allowed(fx.event_ops(spark, d, by_type=True), allow).select("seq", "replica", "ns")
 
 
@@ -234,10 +255,7 @@ def kv_get_byte_cap(spark, d):
     "concat_ws('/', 'o', l_orderkey, l_linenumber) AS key, l_returnflag AS value FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
 )
 def kv_batch_explode(spark, d):
-    b = fx.order_batches(spark, d)
-    return b.select("seq", F.posexplode("ops").alias("pos", "op")).select(
-        "seq", F.col("pos").cast("long").alias("pos"), F.col("op.key").alias("key"), F.col("op.value").alias("value")
-    )
+    return ops.explode_batches(fx.order_batches(spark, d)).select("seq", F.col("pos").cast("long").alias("pos"), "key", "value")
 
 
 @query(
@@ -335,13 +353,132 @@ def kv_base64(spark, d):
 
 
 @query(
-    f"WITH {LOG}, h AS (SELECT event_type AS ns, max(seq) FILTER (event_id % 3 <> 0 AND event_id < 5000) AS head, max(seq) FILTER (event_id % 3 <> 1) AS peer_head FROM log GROUP BY 1) "
+    f"WITH {LOG}, h AS (SELECT key AS ns, max(seq) FILTER (event_id % 3 <> 0) AS head, max(seq) FILTER (event_id % 3 <> 1) AS peer_head FROM log GROUP BY 1) "
     "SELECT ns, head + 1 AS first, least(peer_head, head + 64000) AS target FROM h WHERE peer_head > head"
 )
 def kv_sync_plan(spark, d):
-    ops = fx.event_ops(spark, d, by_type=True)
-    mine = ops.where("event_id % 3 <> 0 and event_id < 5000")
-    return merge.sync_plan(feed.heads(mine), feed.heads(ops.where("event_id % 3 <> 1")))
+    """A namespace for each user, and the whole logs of two replicas."""
+    local, peer = (x.withColumn("ns", F.col("key")) for x in _peers(spark, d))
+    return merge.sync_plan(feed.heads(local), feed.heads(peer))
+
+
+@query(f"WITH {LOG} SELECT tag, key, hlc, replica, count(*) AS copies FROM log WHERE event_id % 3 = 2 GROUP BY ALL UNION ALL SELECT tag, key, hlc, replica, 1 FROM log WHERE event_id % 3 <> 2")
+def kv_deduplicated(spark, d):
+    """The logs of two replicas laid one upon the other: what both have counts once."""
+    local, peer = _peers(spark, d)
+    kept = merge.deduplicated(local.unionByName(peer.withColumn("seq", F.col("seq") + 1_000_000_000)))
+    return kept.groupBy("tag", "key", "hlc", "replica").agg(F.count("*").alias("copies"))
+
+
+@query(
+    f"WITH {LOG}, c AS (SELECT *, sum(strlen(key) + strlen(value)) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS size, row_number() OVER (ORDER BY seq) AS n "
+    "FROM (SELECT * FROM log WHERE seq >= 100 ORDER BY seq LIMIT 1000)) SELECT seq, tag, key, value FROM c WHERE size <= 12000 OR n = 1"
+)
+def kv_pull_chunk(spark, d):
+    """One chunk of a pull: its limits are the feature."""
+    return merge.pull_chunk(fx.event_ops(spark, d), 100, 1000, 12000).select("seq", "tag", "key", "value")
+
+
+@query("SELECT event_id + 1 AS seq FROM events WHERE event_id % 97 = 0 AND event_id > 0")
+def kv_chain_breaks(spark, d):
+    """A chain in which every 97th record names another hash than the one before it has."""
+    own = lambda n: F.unhex(F.sha2(n.cast("string"), 256))
+    n = F.col("event_id")
+    prev = F.when(n % 97 == 0, own(-n)).otherwise(own(n - 1))
+    records = fx.table(spark, d, "events").select(F.lit("n").alias("ns"), (n + 1).alias("seq"), prev.alias("prev"), own(n).alias("hash"))
+    return merge.chain_breaks(records).select("seq")
+
+
+@query(f"WITH {LOG}, {VERSIONS} SELECT key, hlc, lower(hex(encode(replica))) AS replica, seq, value FROM v")
+def kv_versions(spark, d):
+    from .functions import codec
+
+    return fold.register_versions(fx.event_ops(spark, d)).select("key", "hlc", codec.hex_text(F.col("replica")).alias("replica"), "seq", "value")
+
+
+#: The requests of fixtures.requests, with their errors.
+REQUESTS = f"""{LOG}, q AS (SELECT concat('b', CAST(event_id // 100 AS varchar)) AS ns, event_id AS idx,
+  CASE WHEN event_id % 13 = 0 THEN 'jump' WHEN event_id % 4 = 0 THEN 'get' WHEN event_id % 4 = 1 THEN 'del' ELSE 'put' END AS op,
+  CASE WHEN event_id % 11 <> 0 THEN key END AS key, value,
+  CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 9 = 0 THEN concat('%', rtrim(base64(encode(value)), '=')) ELSE rtrim(base64(encode(value)), '=') END AS value_b64 FROM log),
+j AS (SELECT *, CASE WHEN key IS NULL THEN 'missing_key' WHEN op = 'jump' THEN 'unknown_op' WHEN op = 'put' AND value_b64 IS NULL THEN 'missing_value_b64'
+  WHEN op = 'put' AND starts_with(value_b64, '%') THEN 'bad_value_b64' WHEN op = 'put' AND idx % 17 = 0 THEN 'schema_violation: $: bad' END AS error FROM q)"""
+
+
+@query(f"WITH {REQUESTS} SELECT ns, idx, op, key, error FROM j")
+def kv_batch_validated(spark, d):
+    return batch.validated(fx.requests(spark, d)).select("ns", "idx", "op", "key", "error")
+
+
+@query(
+    f"WITH {REQUESTS} SELECT ns, CAST(sum(CASE op WHEN 'put' THEN 93 + coalesce(strlen(key), 0) + coalesce((strlen(value_b64) + 3) // 4 * 3, 0) "
+    "WHEN 'del' THEN 85 + coalesce(strlen(key), 0) ELSE 0 END) AS BIGINT) AS bytes, count(*) AS n_ops FROM j GROUP BY ns"
+)
+def kv_batch_size(spark, d):
+    return batch.size_estimate(fx.requests(spark, d))
+
+
+@query(
+    f"WITH {REQUESTS}, {LOCAL}, g AS (SELECT j.*, s.value AS found, sum(CASE WHEN op = 'get' AND error IS NULL THEN coalesce(strlen(s.value), 0) ELSE 0 END) "
+    "OVER (PARTITION BY j.ns ORDER BY idx ROWS UNBOUNDED PRECEDING) > 60 AS over_cap FROM j LEFT JOIN s ON s.key = j.key), "
+    "e AS (SELECT *, coalesce(error, CASE WHEN op = 'get' AND over_cap THEN 'batch_get_response_too_large' END) AS said FROM g) "
+    "SELECT ns, idx, op, key, said AS error, CASE WHEN op IN ('put', 'del') AND said IS NULL THEN CAST(7 AS BIGINT) END AS seq, "
+    "CASE WHEN op = 'get' AND said IS NULL THEN rtrim(base64(encode(found)), '=') END AS value_b64 FROM e"
+)
+def kv_batch_results(spark, d):
+    judged = batch.validated(fx.requests(spark, d))
+    state = fold.state(fx.event_ops(spark, d), NOW, mode="local").select("key", "value")
+    spread = judged.select("ns", "key").distinct().join(state, "key")  # every request sees the same state
+    return batch.results(judged, spread, 7, 60)
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) IN (1, 5, 50) AS valid FROM events")
+def kv_schema_enum(spark, d):
+    return _schema_valid(spark, d, '{"properties":{"k":{"enum":[1,5,50]}}}')
+
+
+@query("SELECT event_id, (CAST(json_extract(props, '$.k') AS BIGINT) <= 50) <> (CAST(json_extract(props, '$.k') AS BIGINT) % 7 = 0) AS valid FROM events")
+def kv_schema_one_of(spark, d):
+    return _schema_valid(spark, d, '{"properties":{"k":{"oneOf":[{"maximum":50},{"multipleOf":7}]}}}')
+
+
+@query("SELECT o_orderkey, count(*) <= 4 AND count(DISTINCT l_linestatus) = count(*) AS valid FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def kv_schema_array(spark, d):
+    from .plans import jsonschema
+
+    lines = fx.table(spark, d, "orders").join(fx.table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    texts = lines.groupBy("o_orderkey").agg(F.to_json(F.collect_list("l_linestatus")).alias("v"))
+    schema = '{"type":"array","items":{"type":"string"},"maxItems":4,"uniqueItems":true}'
+    return texts.select("o_orderkey", jsonschema.error(F.col("v"), schema).isNull().alias("valid"))
+
+
+def _schema_valid(spark, d, schema):
+    from .plans import jsonschema
+
+    return fx.table(spark, d, "events").select("event_id", jsonschema.error(F.col("props"), schema).isNull().alias("valid"))
+
+
+@query(
+    "SELECT c_custkey, 'h' AS host, concat('l', CAST(1 + c_custkey % 3 AS varchar)) AS tier, lower(c_mktsegment) AS ns, "
+    "CASE WHEN c_custkey % 2 = 0 THEN concat('a/', CAST(c_nationkey AS varchar)) END AS prefix FROM customer"
+)
+def kv_scope_parts(spark, d):
+    tail = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("/a/"), F.col("c_nationkey").cast("string"))).otherwise("")
+    url = F.concat(F.lit("kv://h/l"), (1 + F.col("c_custkey") % 3).cast("string"), F.lit("/"), F.lower("c_mktsegment"), tail)
+    return fx.table(spark, d, "customer").select("c_custkey", authz.scope_parts(url).alias("s")).select("c_custkey", "s.*")
+
+
+@query("SELECT n_name AS issuer FROM nation UNION SELECT 'new root'")
+def kv_key_rotation(spark, d):
+    return authz.rotate(fx.table(spark, d, "nation").select(F.col("n_name").alias("issuer")), "new root", drop_old=False)
+
+
+@query("SELECT page_id, strlen(coalesce(html, '')) AS size, concat(coalesce(html, ''), 'tail') AS appended FROM pages")
+def kv_fs_append(spark, d):
+    pages = fx.page_paths(spark, d)
+    old = F.coalesce("value", F.lit(""))
+    text = fsview.written(F.col("value"), F.lit(b"tail")).cast("string")
+    return pages.select("page_id", F.octet_length(old).cast("long").alias("size"), text.alias("appended"))
 
 
 def queries() -> dict[str, Query]:

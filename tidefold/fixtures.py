@@ -38,6 +38,7 @@ def event_ops(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataFr
 
 def order_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One batch record per order, with its lines as operations in line order."""
+    zero = F.lit(0).cast("long")
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         F.struct(
@@ -46,10 +47,29 @@ def order_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_returnflag").alias("value"),
         ).alias("op"),
     )
-    batches = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("op")).alias("ops"))
+    batches = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("op")).alias("lines"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    op = lambda x: F.struct(
+        F.lit(1).alias("tag"), x["key"].alias("key"), zero.alias("hlc"), F.lit("r0").alias("replica"), F.lit("host").alias("author"),
+        x["value"].alias("value"), zero.alias("expires_at"),
+    )
     return orders.join(batches, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        F.lit("orders").alias("ns"), F.col("o_orderkey").alias("seq"), "ops"
+        F.lit("orders").alias("ns"), F.col("o_orderkey").alias("seq"), F.lit(6).alias("tag"), F.lit("").alias("key"), zero.alias("hlc"),
+        F.lit("r0").alias("replica"), F.lit("host").alias("author"), F.lit("").alias("value"), zero.alias("expires_at"), F.transform("lines", op).alias("ops"),
+    )
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch request per hundred events: puts, gets and deletes, some of them unsound."""
+    e = event_ops(spark, sf_dir)
+    n, b64 = F.col("event_id"), F.translate(F.base64(F.col("value").cast("binary")), "=\r\n", "")
+    return e.select(
+        F.concat(F.lit("b"), F.floor(n / 100).cast("string")).alias("ns"),
+        n.alias("idx"),
+        F.when(n % 13 == 0, "jump").when(n % 4 == 0, "get").when(n % 4 == 1, "del").otherwise("put").alias("op"),
+        F.when(n % 11 != 0, F.col("key")).alias("key"),
+        F.when(n % 7 == 0, None).when(n % 9 == 0, F.concat(F.lit("%"), b64)).otherwise(b64).alias("value_b64"),
+        F.when(n % 17 == 0, "$: bad").alias("schema_error"),
     )
 
 

@@ -85,9 +85,21 @@ def rotate(keyring: DataFrame, new_issuer: str, drop_old: bool) -> DataFrame:
 
 
 def peer_access(hellos: DataFrame, peers: DataFrame) -> DataFrame:
-    """Adds access: Full for a known pin, HelloOnly for a known peer that has no pin yet, else Deny."""
-    p = peers.select("name", "pin")
-    return hellos.join(p, "name", "left").withColumn(
-        "access",
-        F.when(F.col("pin").isNull(), "Deny").when(F.col("pin") == "", "HelloOnly").when(F.col("pin") == F.col("offered_pin"), "Full").otherwise("Deny"),
-    ).drop("pin")
+    """Adds access: Full for the pin of any known peer, HelloOnly for a known peer that has no pin yet,
+    else Deny. The pin is what the connection has proved; the name is only what we dialled."""
+    pins = peers.where("pin <> ''").select(F.col("pin").alias("offered_pin"), F.lit(True).alias("_pinned")).distinct()
+    open_names = peers.where("coalesce(pin, '') = ''").select("name", F.lit(True).alias("_open")).distinct()
+    both = hellos.join(pins, "offered_pin", "left").join(open_names, "name", "left")
+    access = F.when(F.col("_pinned"), "Full").when(F.col("_open"), "HelloOnly").otherwise("Deny")
+    return both.select(*hellos.columns, access.alias("access"))
+
+
+def scope_url(host: str, tier: str, ns: str, prefix: str | None = None, scheme: str = "kv") -> str:
+    """The URL that scope_parts takes apart."""
+    return f"{scheme}://{host}/{tier}/{ns}" + (f"/{prefix}" if prefix is not None else "")
+
+
+def scan_allowed(prefix: str, held: str | None) -> bool:
+    """Whether a capability for `held` (None: all) covers a scan of `prefix`: the scanned prefix itself
+    must lie within the capability's segment."""
+    return held is None or prefix == held or prefix.startswith(f"{held}/")

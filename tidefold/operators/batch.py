@@ -18,8 +18,9 @@ MOST_GET = 8 << 20
 
 def size_estimate(ops: DataFrame) -> DataFrame:
     """Estimated record size of each namespace's batch, before decoding."""
-    put = 93 + F.octet_length("key") + F.ceil(F.octet_length("value_b64") / 4) * 3
-    size = F.when(F.col("op") == "put", put).when(F.col("op") == "del", 85 + F.octet_length("key")).otherwise(0)
+    of = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
+    put = 93 + of("key") + F.ceil(of("value_b64") / 4) * 3
+    size = F.when(F.col("op") == "put", put).when(F.col("op") == "del", 85 + of("key")).otherwise(0)
     return ops.groupBy("ns").agg(F.sum(size).cast("long").alias("bytes"), F.count("*").alias("n_ops"))
 
 
@@ -27,36 +28,40 @@ def validated(ops: DataFrame) -> DataFrame:
     """Adds value (decoded) and error (null if sound); a failing operation fails alone."""
     value = codec.base64_bytes(F.col("value_b64"))
     error = (
-        F.when(~F.col("op").isin("put", "get", "del"), "unknown_op")
-        .when(F.col("key").isNull() | (F.octet_length("key") == 0), "missing_key")
+        F.when(F.col("key").isNull(), "missing_key")
+        .when(F.col("op").isNull() | ~F.col("op").isin("put", "get", "del"), "unknown_op")
         .when((F.col("op") == "put") & F.col("value_b64").isNull(), "missing_value_b64")
         .when((F.col("op") == "put") & value.isNull(), "bad_value_b64")
-        .when((F.col("op") == "put") & F.col("schema_error").isNotNull(), "schema_violation")
+        .when((F.col("op") == "put") & F.col("schema_error").isNotNull(), F.concat(F.lit("schema_violation: "), F.col("schema_error")))
     )
     return ops.withColumn("value", value).withColumn("error", error)
 
 
 def _greedy(items: Column, limit: int, used: Column) -> Column:
-    start = F.struct(used.cast("long").alias("used"), F.array().cast("array<struct<idx:bigint,ok:boolean>>").alias("out"))
+    """A text of one digit for each item in order: 1 if it is granted."""
+    start = F.struct(used.cast("long").alias("used"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         ok = acc["used"] + x["cost"] <= limit
-        item = F.struct(x["idx"].cast("long").alias("idx"), ok.alias("ok"))
         return F.struct(
-            (acc["used"] + F.when(ok, x["cost"]).otherwise(0)).alias("used"), F.concat(acc["out"], F.array(item)).alias("out")
+            (acc["used"] + F.when(ok, x["cost"]).otherwise(0)).alias("used"), F.concat(acc["out"], F.when(ok, "1").otherwise("0")).alias("out")
         )
 
-    return F.aggregate(items, start, step)
+    return F.aggregate(items, start, step)["out"]
 
 
 def quota(ops: DataFrame, limit: int) -> DataFrame:
     """ns, idx, ok: greedy quota within each batch. An operation that would exceed the limit is
-    refused without being charged, and a later smaller one may pass. A batch has at most 1000
-    operations, so each array is bounded."""
+    refused without being charged, and a later smaller one may pass. A batch has at most MOST_OPS
+    operations, so each array is bounded; a longer one is refused as a whole (ok is false)."""
     items = F.sort_array(F.collect_list(F.struct("idx", F.col("cost").cast("long").alias("cost"))))
-    got = ops.groupBy("ns").agg(items.alias("items"), F.first("used").alias("used"))
-    out = got.select("ns", F.explode(_greedy(F.col("items"), limit, F.col("used"))["out"]).alias("x"))
-    return out.select("ns", F.col("x.idx").alias("idx"), F.col("x.ok").alias("ok"))
+    counts = ops.groupBy("ns").agg(F.count("*").alias("n"))
+    long = counts.where(F.col("n") > MOST_OPS).select("ns")
+    got = ops.join(long, "ns", "left_anti").groupBy("ns").agg(items.alias("items"), F.first("used").alias("used"))
+    out = got.withColumn("out", _greedy(F.col("items"), limit, F.col("used"))).select("ns", "out", F.posexplode("items").alias("at", "x"))
+    granted = out.select("ns", F.col("x.idx").cast("long").alias("idx"), (F.substr("out", F.col("at") + 1, F.lit(1)) == "1").alias("ok"))
+    refused = ops.join(long, "ns", "left_semi").select("ns", F.col("idx").cast("long").alias("idx"), F.lit(False).alias("ok"))
+    return granted.unionByName(refused)
 
 
 def byte_cap(gets: DataFrame, cap: int = MOST_GET, group: str = "ns", order: str = "idx") -> DataFrame:
@@ -84,7 +89,7 @@ def rate_counts(requests: DataFrame, most: int, window: int, key: str = "key", t
 
 
 def results(ops: DataFrame, applied_state: DataFrame, seq: int, cap: int = MOST_GET) -> DataFrame:
-    """One result per operation by idx: accepted puts share the seq of the batch record, and gets see
+    """One result per operation by idx: accepted writes share the seq of the batch record, and gets see
     the state after the whole batch."""
     values = applied_state.select("ns", "key", F.col("value").alias("found"))
     joined = ops.join(values, ["ns", "key"], "left").withColumn(
@@ -92,9 +97,9 @@ def results(ops: DataFrame, applied_state: DataFrame, seq: int, cap: int = MOST_
     )
     capped = byte_cap(joined, cap)
     get = F.col("op") == "get"
-    error = F.coalesce("error", F.when(get & F.col("over_cap"), F.lit("response_too_large")))
+    error = F.coalesce("error", F.when(get & F.col("over_cap"), F.lit("batch_get_response_too_large")))
     return capped.select(
         "ns", "idx", "op", "key", error.alias("error"),
-        F.when((F.col("op") == "put") & error.isNull(), F.lit(seq).cast("long")).alias("seq"),
+        F.when(F.col("op").isin("put", "del") & error.isNull(), F.lit(seq).cast("long")).alias("seq"),
         F.when(get & error.isNull(), codec.base64_text(F.col("found").cast("binary"))).alias("value_b64"),
     )

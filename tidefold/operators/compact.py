@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import DEL
+from ..shared import numbered
 from . import fold
 
 
@@ -16,8 +18,8 @@ def compacted(ops: DataFrame, now_ms: int, policy: str = "lww", mode: str = "mer
     """ns, key, hlc, replica, value, expires_at, tag, seq: retained live versions in key order, then
     a tombstone for each deleted key that has none; seq starts again at 1 in every namespace.
 
-    The new seq is a running number along each namespace, taken in two levels (see `renumbered`), so
-    no namespace is sorted in one task.
+    The new seq is a running number along each namespace, which is range-partitioned by key (see
+    `shared.numbered`), so no namespace is sorted in one task, whatever its keys begin with.
     """
     kept = fold.lww(ops, mode) if policy == "lww" else fold.register_versions(ops, mode)
     kept = kept.where(fold.live(now_ms)).select(
@@ -33,24 +35,8 @@ def compacted(ops: DataFrame, now_ms: int, policy: str = "lww", mode: str = "mer
             F.col("last_del").alias("seq"), F.lit(0).alias("pos"), F.lit(2).alias("tag"),
         )
     )
-    return renumbered(kept.unionByName(dead))
-
-
-def renumbered(rows: DataFrame) -> DataFrame:
-    """seq := place in (key, seq, pos) order within the namespace, by slots of keys.
-
-    Keys share a slot if they share their first bytes; slot counts are summed up along the namespace
-    and rows are only ordered inside their slot."""
-    slotted = rows.withColumn("_slot", F.substring(F.hex(F.col("key").cast("binary")), 1, 16))
-    sizes = slotted.groupBy("ns", "_slot").agg(F.count("*").alias("_n"))
-    along = Window.partitionBy("ns").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sizes.select("ns", "_slot", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy("ns", "_slot").orderBy("key", "seq", "pos")
-    return (
-        slotted.join(ahead, ["ns", "_slot"])
-        .withColumn("seq", F.col("_ahead") + F.row_number().over(inside))
-        .drop("_slot", "_ahead", "pos")
-    )
+    rows = kept.unionByName(dead)
+    return numbered(rows, ["ns"], ["key", "seq", "pos"], "_place").withColumn("seq", F.col("_place")).drop("_place", "pos")
 
 
 def guard(peer_clocks: DataFrame) -> None:
@@ -58,17 +44,36 @@ def guard(peer_clocks: DataFrame) -> None:
         raise CompactionRefused("a peer clock is recorded")
 
 
-def checkpoint(state: DataFrame, path: str) -> None:
+def retained(ops: DataFrame, policy: str = "lww", mode: str = "merge") -> DataFrame:
+    """The operations that any later fold can need, tombstones included: in merge mode the puts that can
+    still be seen and a tombstone of each deleted key (the newest), in local mode the last operation of
+    each key, or for registers its last tombstone and what came after."""
+    if policy == "lww" and mode == "local":
+        return fold.top_per_key(ops, fold.BY_LOG)
+    dead = fold.top_per_key(ops.where(F.col("tag") == DEL), fold.BY_LOG)
+    if policy == "lww":
+        alive = fold.top_per_key(fold.puts(ops), fold.BY_CLOCK)
+        return alive.join(dead.select("ns", "key"), ["ns", "key"], "left_anti").select(*ops.columns).unionByName(dead)
+    last = dead.select("ns", "key", F.struct(*fold.BY_LOG).alias("_del"))
+    alive = fold.puts(ops).join(last, ["ns", "key"], "left")
+    alive = alive.where("_del is null" if mode == "merge" else "_del is null or struct(seq, pos) > _del")
+    return alive.select(*ops.columns).unionByName(dead)
+
+
+def checkpoint(ops: DataFrame, path: str, policy: str = "lww", mode: str = "merge") -> None:
     """A versioned snapshot: the file commit protocol makes it visible as a whole or not at all."""
-    state.write.mode("errorifexists").partitionBy("ns").parquet(path)
+    retained(ops, policy, mode).write.mode("errorifexists").partitionBy("ns").parquet(path)
 
 
-def with_tail(snapshot: DataFrame, log_tail: DataFrame) -> DataFrame:
-    """Operations equal in effect to the whole log: the snapshot's versions and what came after."""
-    base = snapshot.withColumn("tag", F.when(F.col("expires_at") == 0, 1).otherwise(3))
-    return base.select(*log_tail.columns).unionByName(log_tail)
+def with_tail(snapshot: DataFrame, tail: DataFrame) -> DataFrame:
+    """Operations equal in effect to the whole log: what the snapshot retained and what came after."""
+    return snapshot.select(*tail.columns).unionByName(tail)
 
 
 def backup(log: DataFrame, target: str) -> None:
     """Copy of a log table; refuses an existing target, as does restoring."""
     log.write.mode("errorifexists").partitionBy("ns").parquet(target)
+
+
+#: Putting a backup back is the same copy the other way.
+restore = backup

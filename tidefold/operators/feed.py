@@ -11,11 +11,14 @@ MOST_CHANGES = 10_000
 
 
 def heads(log: DataFrame, namespaces: DataFrame | None = None) -> DataFrame:
-    """The last seq of each namespace; namespaces without records have head 0."""
-    out = log.groupBy("ns").agg(F.max("seq").alias("head"))
+    """The last seq of each namespace, and its hash in hex where the records have one; namespaces
+    without records have head 0."""
+    hashed = [F.lower(F.hex(F.max_by("hash", "seq"))).alias("hash")] if "hash" in log.columns else []
+    out = log.groupBy("ns").agg(F.max("seq").alias("head"), *hashed)
     if namespaces is None:
         return out
-    return namespaces.select("ns").join(out, "ns", "left").select("ns", F.coalesce("head", F.lit(0).cast("long")).alias("head"))
+    named = namespaces.select("ns").join(out, "ns", "left")
+    return named.withColumn("head", F.coalesce("head", F.lit(0).cast("long"))).select(*out.columns)
 
 
 def log_range(log: DataFrame, first: int, most: int = 0) -> DataFrame:
@@ -30,18 +33,16 @@ def changes(log: DataFrame, since: int, most: int = MOST_CHANGES) -> DataFrame:
 
 
 def change_fields(log: DataFrame) -> DataFrame:
-    """Feed rows as clients see them."""
-    return log.select(
-        "ns",
-        "seq",
-        codec.base64_text(F.col("key").cast("binary")).alias("key_b64"),
-        F.when(F.col("tag") != 2, codec.base64_text(F.col("value").cast("binary"))).alias("value_b64"),
-        (F.col("tag") == 2).alias("del"),
-        (F.col("tag") == 3).alias("ttl"),
-        "expires_at",
-        "hlc",
-        (F.col("tag") == 6).alias("batch"),
-    )
+    """Feed rows as clients see them: a batch is one change with its number of operations. A record
+    whose payload could not be parsed (no key, and no batch) has parse_error and nothing else."""
+    batch, bad = F.col("tag") == 6, F.col("key").isNull() & F.col("ops").isNull()
+    text = lambda c: codec.base64_text(F.coalesce(F.col(c).cast("binary"), F.lit(b"")))
+    fields = {
+        "key_b64": text("key"), "value_b64": text("value"), "del": F.col("tag") == 2, "ttl": F.coalesce("expires_at", F.lit(0)) != 0,
+        "expires_at": F.coalesce("expires_at", F.lit(0)), "hlc": F.coalesce("hlc", F.lit(0)), "batch": batch,
+        "ops": F.when(batch, F.size("ops")).otherwise(0).cast("long"),
+    }
+    return log.select("ns", "seq", *[F.when(~bad, c).alias(n) for n, c in fields.items()], bad.alias("parse_error"))
 
 
 def skew_median(samples: DataFrame, last: int = 8) -> DataFrame:

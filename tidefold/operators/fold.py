@@ -4,8 +4,9 @@ Two policies: `lww` keeps one version per key, `register` keeps all. Two modes:
 gives the same answer for the same set of records in any order of arrival, and any tombstone hides its
 key; `local` follows the order of the log, where a later put brings a key back.
 
-Every fold shuffles once, by (ns, key). The winner is picked by a ranked window, whose limit Spark
-applies before the shuffle, so a key with many versions sends one row per task. Expiry is filtered
+A fold shuffles by (ns, key) only. The winner is picked by a ranked window, whose limit Spark
+applies before the shuffle, so a key with many versions sends one row per task; deletes are summed up
+in each task too, and versions meet their key's last delete in a join, which Spark can split. Expiry is filtered
 after the pick for lww (an expired winner hides its key) and before it for register (an older live
 version shows again).
 """
@@ -58,9 +59,8 @@ def register_versions(ops: DataFrame, mode: str = "local") -> DataFrame:
     of a key that has a tombstone."""
     if mode == "merge":
         return puts(ops).join(tombstones(ops), list(KEY), "left_anti").select(*STATE)
-    when = F.when(F.col("tag") == DEL, F.struct(*BY_LOG))
-    last = F.max(when).over(Window.partitionBy(*KEY))
-    kept = ops.withColumn("_del", last).where("tag <> 2 and (_del is null or struct(seq, pos) > _del)")
+    last = ops.where(F.col("tag") == DEL).groupBy(*KEY).agg(F.max(F.struct(*BY_LOG)).alias("_del"))
+    kept = puts(ops).join(last, list(KEY), "left").where("_del is null or struct(seq, pos) > _del")
     return kept.select(*STATE)
 
 

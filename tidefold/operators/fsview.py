@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fold
@@ -41,6 +41,35 @@ def padded(value: Column, size: int) -> Column:
     )
 
 
+def _operation(spark: SparkSession, ns: str, tag: int, key: bytes, hlc: int, replica: bytes, value: bytes = b"", expires_at: int = 0) -> DataFrame:
+    row = (ns, tag, key, hlc, replica, replica, value, expires_at)
+    return spark.createDataFrame([row], "ns string, tag int, key binary, hlc long, replica binary, author binary, value binary, expires_at long")
+
+
+def made_dir(spark: SparkSession, ns: str, folder: str, hlc: int, replica: bytes) -> DataFrame:
+    """A marker, so that a folder without files is seen: an empty value under the folder's name."""
+    return _operation(spark, ns, 1, f"{folder.strip('/')}/".encode(), hlc, replica)
+
+
+def created(spark: SparkSession, ns: str, path: str, hlc: int, replica: bytes) -> DataFrame:
+    """An empty file."""
+    return _operation(spark, ns, 1, path.strip("/").encode(), hlc, replica)
+
+
+def unlinked(spark: SparkSession, ns: str, path: str, hlc: int, replica: bytes) -> DataFrame:
+    """A tombstone for one file; nothing under a folder of that name is touched."""
+    return _operation(spark, ns, 2, path.strip("/").encode(), hlc, replica)
+
+
+def written(old: Column, data: Column, offset: int | None = None) -> Column:
+    """A file's bytes after a write at offset (None: at its end), with zero bytes in a gap."""
+    old = F.coalesce(old.cast("binary"), F.lit(b""))
+    if offset is None:
+        return F.concat(old, data)
+    rest = F.substring(old, F.lit(offset + 1) + F.octet_length(data), F.lit(1 << 30))
+    return F.concat(padded(old, offset), data, rest)
+
+
 def removed(state: DataFrame, folder: str, hlc: int, replica: bytes, column: str = "key") -> DataFrame:
     """Tombstones for everything under a folder, with a clock of its own for each key."""
     rows = fold.scan(state, f"{folder.strip('/')}/".encode(), column)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import numbered
+
 #: What makes two records the same. The clock alone is not enough: one clock may carry many keys.
 IDENTITY = ("ns", "tag", "hlc", "replica", "key")
 MOST_AHEAD = 64_000
@@ -21,14 +23,17 @@ def missing(peer: DataFrame, local: DataFrame, identity: tuple[str, ...] = IDENT
     return peer.join(local.select(*identity), list(identity), "left_anti").select(*peer.columns)
 
 
-def apply_synced(local: DataFrame, peer: DataFrame, identity: tuple[str, ...] = IDENTITY) -> DataFrame:
-    """The local log with the missing records appended in the peer's order, numbered on gaplessly."""
-    new = deduplicated(missing(peer, local, identity), identity)
+def new_records(local: DataFrame, peer: DataFrame, identity: tuple[str, ...] = IDENTITY) -> DataFrame:
+    """The records that the local log lacks, once each, in the peer's order and numbered on from the
+    local head. Numbering is spread over tasks (see `shared.numbered`)."""
+    new = numbered(deduplicated(missing(peer, local, identity), identity), ["ns"], ["seq"], "_place")
     head = local.groupBy("ns").agg(F.max("seq").alias("_head"))
-    order = Window.partitionBy("ns").orderBy("seq")
-    new = new.withColumn("_place", F.row_number().over(order))
-    numbered = new.join(head, "ns", "left").withColumn("seq", F.coalesce("_head", F.lit(0)) + F.col("_place"))
-    return local.unionByName(numbered.select(*local.columns))
+    return new.join(head, "ns", "left").withColumn("seq", F.coalesce("_head", F.lit(0)) + F.col("_place")).select(*local.columns)
+
+
+def apply_synced(local: DataFrame, peer: DataFrame, identity: tuple[str, ...] = IDENTITY) -> DataFrame:
+    """The local log with the missing records appended."""
+    return local.unionByName(new_records(local, peer, identity))
 
 
 def sync_plan(local_heads: DataFrame, peer_heads: DataFrame, ahead: int = MOST_AHEAD) -> DataFrame:
@@ -61,16 +66,25 @@ def policy_mismatch(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.alias("a").join(b.alias("b"), "ns").where("a.policy <> b.policy").select("ns")
 
 
+def _with_before(records: DataFrame) -> DataFrame:
+    """Adds _before, the hash of the record before: an equi join on its number, spread by record."""
+    before = records.select("ns", (F.col("seq") + 1).alias("seq"), F.col("hash").alias("_before"))
+    return records.join(before, ["ns", "seq"], "left")
+
+
 def chain_breaks(records: DataFrame) -> DataFrame:
-    """Records whose `prev` is not the hash of the record before; the first of a batch is exempt.
-    Hashes of single records are known, so the chain is checked in parallel."""
-    w = Window.partitionBy("ns").orderBy("seq")
-    return records.withColumn("_before", F.lag("hash").over(w)).where("_before is not null and prev <> _before").drop("_before")
+    """Records whose `prev` is not the hash of the record before; the first of a batch is exempt."""
+    return _with_before(records).where("_before is not null and prev <> _before").select(*records.columns)
+
+
+def gaps(records: DataFrame) -> DataFrame:
+    """ns of batches whose numbers are not consecutive."""
+    return records.groupBy("ns").agg(F.count("*").alias("n"), (F.max("seq") - F.min("seq") + 1).alias("span")).where("n <> span").select("ns")
 
 
 def verified_batches(records: DataFrame) -> DataFrame:
     """ns, ok: whether a batch of records (prev, hash, bytes) is sound as a whole."""
-    w = Window.partitionBy("ns").orderBy("seq")
     own = F.unhex(F.sha2(F.concat("prev", "bytes"), 256)) == F.col("hash")
-    before = F.lag("hash").over(w)
-    return records.withColumn("_ok", own & (before.isNull() | (F.col("prev") == before))).groupBy("ns").agg(F.bool_and("_ok").alias("ok"))
+    ok = own & (F.col("_before").isNull() | (F.col("prev") == F.col("_before")))
+    checked = _with_before(records).groupBy("ns").agg(F.bool_and(ok).alias("ok"))
+    return checked.join(gaps(records).withColumn("gap", F.lit(True)), "ns", "left").select("ns", (F.col("ok") & F.col("gap").isNull()).alias("ok"))

@@ -104,10 +104,11 @@ def walk(data: bytes) -> tuple[int, bytes | None]:
     return n, chain_hash(raw[9:HEADER], raw)
 
 
-def decode_segment(data: bytes, prev: bytes, seq: int, last: bool, torn_tail: bool = True) -> Iterator[dict]:
+def decode_segment(data: bytes, prev: bytes, seq: int, last: bool, torn_tail: bool = True, keep_unparsed: bool = False) -> Iterator[dict]:
     """Records of a segment that follows the record of number seq and hash prev. A last record that is
     cut off or fails its checksum is dropped if it ends the last segment and torn_tail is set; anything
-    else unsound raises Corrupt."""
+    else unsound raises Corrupt. With keep_unparsed a record of the chain whose payload makes no sense
+    is kept without its fields, as the change feed shows it."""
     at = 0
     while at < len(data):
         if at + HEADER > len(data):
@@ -126,7 +127,13 @@ def decode_segment(data: bytes, prev: bytes, seq: int, last: bool, torn_tail: bo
         if raw[9:HEADER] != prev:
             raise Corrupt("chain")
         own, seq = chain_hash(prev, raw), seq + 1
-        yield {"seq": seq, "tag": tag, "prev": prev, "hash": own} | decode_payload(tag, raw[HEADER:])
+        try:
+            fields = decode_payload(tag, raw[HEADER:])
+        except Corrupt:
+            if not keep_unparsed:
+                raise
+            fields = {}
+        yield {"seq": seq, "tag": tag, "prev": prev, "hash": own} | fields
         prev, at = own, at + len(raw)
 
 
@@ -139,9 +146,18 @@ def decode_segments(segments: list[bytes], torn_tail: bool = True) -> Iterator[d
             yield r
 
 
-def read_log(spark: SparkSession, path: str, torn_tail: bool = True) -> DataFrame:
+def read_policies(spark: SparkSession, path: str) -> DataFrame:
+    """ns, policy of all namespaces under path, from the one byte of their policy.bin: 0 lww, 1 register."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "policy.bin").load(path)
+    name = F.unhex(F.regexp_extract("path", "/[0-9a-f]+_([0-9a-f]+)/policy\\.bin$", 1)).cast("string")
+    byte = F.hex("content")
+    bad = F.raise_error(F.concat(F.lit("bad policy of "), name)).cast("string")
+    return files.select(name.alias("ns"), F.when(byte == "00", "lww").when(byte == "01", "register").otherwise(bad).alias("policy"))
+
+
+def read_log(spark: SparkSession, path: str, torn_tail: bool = True, keep_unparsed: bool = False) -> DataFrame:
     """The records of all namespaces under path (folders `<hex length>_<hex name>`, files
-    log.<n>.seg), with prev and hash."""
+    log.<n>.seg), with prev and hash; keep_unparsed as in decode_segment."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "log.*.seg").load(path)
     named = files.select(
         F.regexp_extract("path", "/[0-9a-f]+_([0-9a-f]+)/log\\.\\d+\\.seg$", 1).alias("folder"),
@@ -172,7 +188,7 @@ def read_log(spark: SparkSession, path: str, torn_tail: bool = True) -> DataFram
                 if x.segment != x.place:
                     raise Corrupt("a segment is missing")
                 ns, rows, size = bytes.fromhex(x.folder).decode(), [], 0
-                for r in decode_segment(bytes(x.content), bytes(x.before), x.seq, x.last, torn_tail):
+                for r in decode_segment(bytes(x.content), bytes(x.before), x.seq, x.last, torn_tail, keep_unparsed):
                     rows.append(dict.fromkeys(columns) | {"hlc": 0, "expires_at": 0} | r)
                     size += len(r.get("value") or b"") + 1000 * len(r.get("ops", "1"))
                     if size >= HELD:
