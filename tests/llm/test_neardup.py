@@ -146,8 +146,8 @@ def test_prefix_filter_loses_no_link(spark):
     heavy = sk.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component"), F.col("n_shingles").alias("n"), "parity")
     small, neardup.BLOCK = neardup.BLOCK, 7
     try:
-        rarest = neardup.prefixes(sets, neardup.shingle_counts(sets), 80).join(heavy, ["node", "n"])
-        got = {(r.a, r.b) for r in neardup._meet(rarest, 80).collect()}
+        rarest = neardup.prefixes(sets, neardup.shingle_counts(sets), 80).drop("n").join(heavy.select("node", "component"), "node")
+        got = {(r.a, r.b) for r in neardup._meet(rarest, heavy.select("node", "n", "parity"), 80).collect()}
     finally:
         neardup.BLOCK = small
     plain = {i: shingles(t, 2) for i, t in data}

@@ -148,10 +148,11 @@ def verified(documents: DataFrame, pairs: DataFrame, k: int, percent: int) -> Da
     )
 
 
-def _meet(rows: DataFrame, percent: int) -> DataFrame:
+def _meet(rows: DataFrame, parity: DataFrame, percent: int) -> DataFrame:
     """Candidates (a < b): nodes that share a key, lie in different components and may be alike.
 
-    rows: key, node, component, n, parity, and leads: whether the node may be the smaller one of a pair.
+    rows: key, node, component, and leads: whether the node may be the smaller one of a pair; parity:
+    node, n, parity. They join once for each side, where the keys that meet nothing are gone.
     The nodes outside the most frequent component of a key meet those of other components. The join
     itself drops pairs that cannot be alike: the Hamming distance of two parity sketches is at most the
     symmetric difference of the sets, and alike sets have a symmetric difference of at most
@@ -167,13 +168,14 @@ def _meet(rows: DataFrame, percent: int) -> DataFrame:
             (F.col("all") - F.col("top.count"), "few_blocks"), (F.col("all"), "all_blocks"))])
     )
     full = rows.join(top, "key")
+    sketched = lambda df: df.join(parity, "node")
     dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    few = full.where("component <> top").select(
+    few = sketched(full.where("component <> top")).select(
         "key", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("parity").alias("px"),
         F.col("leads").alias("lx"), dealt("few_blocks").alias("bx"), each("all_blocks").alias("by"),
     )
-    every = full.select(
+    every = sketched(full).select(
         F.col("key").alias("k"), F.col("node").alias("y"), F.col("component").alias("cy"), "top", F.col("n").alias("ny"),
         F.col("parity").alias("py"), F.col("leads").alias("ly"), dealt("all_blocks").alias("ky"), each("few_blocks").alias("kx"),
     )
@@ -245,16 +247,14 @@ def pairs_across(documents: DataFrame, buckets: DataFrame, groups: DataFrame, pa
         (F.sum("count") - F.max("count")).alias("few"), F.sum("count").alias("all")
     )
     kinds = cut(sizes.where("few > 0").select("key", (F.col("few") > FEW).alias("heavy")), "dedup-kinds")
-    named = lambda df: df.join(parity, "node")
-    light = named(rows.join(kinds.where("not heavy").select("key"), "key", "left_semi")).withColumn("leads", F.lit(True))
-    pairs = _meet(light, percent)
+    light = rows.join(kinds.where("not heavy").select("key"), "key", "left_semi").withColumn("leads", F.lit(True))
+    pairs = _meet(light, parity, percent)
     heavy = cut(rows.join(kinds.where("heavy").select("key"), "key", "left_semi").select("node", "component").distinct(), "dedup-heavy")
     if heavy.isEmpty():
         return pairs
     sets = cut(_sets_of(documents, heavy.select("node").distinct(), k), "dedup-heavy-sets")
-    rarest = prefixes(sets, shingle_counts(sets), percent).join(heavy, "node")
-    sketched = parity.select("node", "n", "parity")
-    return pairs.union(_meet(rarest.join(sketched, ["node", "n"]), percent)).distinct()
+    rarest = cut(prefixes(sets, shingle_counts(sets), percent).drop("n").join(heavy, "node"), "dedup-rarest")
+    return pairs.union(_meet(rarest, parity, percent)).distinct()
 
 
 def shared_ids(sk: DataFrame, classes: DataFrame) -> DataFrame:
