@@ -192,7 +192,9 @@ def score_documents(
 ) -> DataFrame:
     """Both models fitted on the documents, and every document's score."""
     path = tokenizer or tokenizer_path("byte_bpe_50k.tiktoken")
-    tokens = tokenise(documents, targets, path, portion_tokens)
     vocabulary = len(ByteEncoder.shared(path).length)
+    if vocabulary > 1 << 16:
+        raise ValueError("ids are packed in 16 bits: choose a tokenizer of at most 65,536 ids")
+    tokens = tokenise(documents, targets, path, portion_tokens)
     grams = portion_grams(tokens, vocabulary)
     return score(tokens, grams, fit(grams, vocabulary, alpha))
