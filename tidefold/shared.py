@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows that may be broadcast (16 MB of ids); beyond, joins are left to shuffle.
+MOST_BROADCAST = 1_000_000
+
 
 def root(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session. Where that is unset, a temporary folder if the master is
@@ -47,6 +50,11 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small_side(rows: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """Rows of a few numbers or a short text, with a broadcast hint if they are few by count."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def numbered(rows: DataFrame, within: list[str], order: list[str], place: str = "place") -> DataFrame:
     """Adds the place of each row (from 1) within its `within` columns, in the order of `order`.
 

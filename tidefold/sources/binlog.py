@@ -24,10 +24,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import BATCH, DEL, LOG, PUT_TTL
+from ..shared import cut, small_side
 
 ZERO = bytes(32)
 HEADER = 41
 SEGMENT = 64 << 20
+#: Segments whose places in the chains are broadcast, about 200 bytes each; of more logs, contents are
+#: shuffled to them.
+MOST_SEGMENTS = 200_000
 #: About the bytes of decoded records that a task hands on together.
 HELD = 8 << 20
 RECORDS = f"{LOG}, prev binary, hash binary"
@@ -197,8 +201,8 @@ def read_log(spark: SparkSession, path: str, torn_tail: bool = True, keep_unpars
                 if rows:
                     yield pd.DataFrame(rows, columns=columns).assign(ns=ns)
 
-    # one small row per segment; its content stays where it is read
-    return named.join(F.broadcast(ends), ["folder", "segment"]).mapInPandas(decode, RECORDS)
+    # one small row per segment: while they are few, the contents stay where they are read
+    return named.join(small_side(cut(ends, "segments"), MOST_SEGMENTS), ["folder", "segment"]).mapInPandas(decode, RECORDS)
 
 
 def encode_log(log: DataFrame, segment_bytes: int = SEGMENT) -> DataFrame:
