@@ -1,3 +1,5 @@
+from collections import Counter
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -32,3 +34,32 @@ def test_stages_in_order(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "mixing", "packing"]
     assert check(spark, mix)
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+OWN_NAMES = ("key", "node", "component", "own", "row", "again", "has_word", "size", "slot", "shard", "kept", "portion")
+
+
+def test_odd_rows_and_clashing_names_in_each_stage(spark):
+    prose = " ".join(f"word{i}" for i in range(60))
+    long = " ".join(f"term{i * i % 9973} of{i % 7}" for i in range(40_000))
+    data = [(1, None, None), (2, "", "a"), (None, prose, None), (3, prose, "a"), (3, prose, "a"), (4, long, "b"), (5, " \n\t", "b"), (None, None, "a")]
+    docs = cut(spark.createDataFrame(data, "doc_id long, text string, source string").withColumns({c: F.lit(7) for c in OWN_NAMES}), "t")
+    quality_rules, near_duplicates, mix_sources, pack_sequences = (stage for _, stage in corpus_pipeline.STAGES)
+
+    def texts(df):
+        assert df.columns == docs.columns
+        return sorted((r.text for r in df.collect()), key=str)
+
+    judged = quality.judge(docs, quality.fit(docs, table(spark, SF, "labels")))
+    kept = Counter(r.doc_id for r in judged.where("kept").collect())
+    assert Counter(r.doc_id for r in quality_rules(spark, docs, SF).collect()) == kept
+    assert set(kept) <= {None, 3, 4}
+
+    assert texts(near_duplicates(spark, docs, SF)) == sorted([None, None, "", " \n\t", prose, long], key=str)
+    copies = Counter(texts(mix_sources(spark, docs, SF)))
+    assert set(copies) <= {t for _, t, _ in data} and copies[prose] <= 6 and copies[long] <= 2
+    assert sum(r.length for r in check(spark, docs)) > 80_000
+
+    for stage in (quality_rules, near_duplicates, mix_sources):
+        assert texts(stage(spark, docs.limit(0), SF)) == []
+    assert pack_sequences(spark, docs.limit(0), SF).count() == 0

@@ -6,27 +6,19 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..shared import cut, discard, fresh_path, stored
+from ..shared import cut, discard, fresh_path, small_side, stored
 
 __all__ = ["cut", "discard", "fresh_path", "map_arrow", "map_batches", "small_side", "stored", "table"]
 
 #: Bytes of an Arrow batch, in every operator: texts differ in length by orders of magnitude.
 BATCH_BYTES = "4m"
-#: Rows that may be broadcast (16 MB of ids); beyond, joins are left to shuffle.
-MOST_BROADCAST = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_side(rows: DataFrame) -> DataFrame:
-    """Rows of a few numbers or a short text, with a broadcast hint if they are few by count."""
-    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
-
-
 def map_batches(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
