@@ -482,8 +482,15 @@ def kv_fs_append(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    _more()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _more()
     return dict(_SQL)
+
+
+def _more() -> None:
+    """Registers the queries of the second module, which needs this one."""
+    from . import catalogue_more  # noqa: F401

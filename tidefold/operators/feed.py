@@ -21,6 +21,11 @@ def heads(log: DataFrame, namespaces: DataFrame | None = None) -> DataFrame:
     return named.withColumn("head", F.coalesce("head", F.lit(0).cast("long"))).select(*out.columns)
 
 
+def metrics(log: DataFrame) -> DataFrame:
+    """ns, records and bytes of every namespace."""
+    return log.groupBy("ns").agg(F.count("*").alias("records"), F.sum(F.coalesce(F.octet_length("value"), F.lit(0))).alias("bytes"))
+
+
 def log_range(log: DataFrame, first: int, most: int = 0) -> DataFrame:
     """Records from seq `first` on; most 0 means to the end; first 0 gives nothing."""
     rows = log.where((F.col("seq") >= first) & F.lit(first > 0)).orderBy("seq")

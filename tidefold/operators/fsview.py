@@ -19,13 +19,18 @@ def readdir(state: DataFrame, folder: str = "", path: str = "path") -> DataFrame
     return named.groupBy("name").agg(F.max_by("is_dir", "p").alias("is_dir"), F.count("*").alias("n_files"))
 
 
-def getattr_(state: DataFrame, path: str, column: str = "path") -> DataFrame:
-    """size and mtime (seconds) of a file; empty if there is none."""
-    return state.where(F.col(column) == path).select(
-        F.octet_length("value").alias("size"), (F.shiftright("hlc", 16) / 1000).alias("mtime")
+def attributes(state: DataFrame, column: str = "path") -> DataFrame:
+    """path, size and mtime (seconds) of every file."""
+    return state.select(
+        F.col(column).alias("path"), F.octet_length("value").alias("size"), (F.shiftright("hlc", 16) / 1000).alias("mtime")
     )
 
 
+def getattr_(state: DataFrame, path: str, column: str = "path") -> DataFrame:
+    """size and mtime of a file; empty if there is none."""
+    return attributes(state.where(F.col(column) == path), column).drop("path")
+
+
 def dir_exists(state: DataFrame, folder: str, column: str = "path") -> bool:
     return not fold.scan(state, f"{folder.strip('/')}/", column).limit(1).isEmpty()
 

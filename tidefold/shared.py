@@ -24,7 +24,12 @@ def root(spark: SparkSession) -> str:
         spark.conf.set("tidefold.shared.dir", base)
     path = spark._jvm.org.apache.hadoop.fs.Path(base)  # with its scheme, for readers other than Spark
     path = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return re.sub("^file:/(?!/)", "file:///", path).rstrip("/")
+    return uri(path).rstrip("/")
+
+
+def uri(path: str) -> str:
+    """A qualified path of Spark's with the slashes that other readers want."""
+    return re.sub("^file:/(?!/)", "file:///", path)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -16,13 +16,16 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import codec
 from ..schema import BATCH, DEL, LOG, PUT_TTL
 from ..shared import cut, small_side
 
@@ -234,3 +237,30 @@ def encode_log(log: DataFrame, segment_bytes: int = SEGMENT) -> DataFrame:
     # a batch has no clock of its own; nulls would turn the 64-bit columns of a frame into doubles
     whole = log.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("hlc", "expires_at")})
     return whole.repartition("ns").sortWithinPartitions("ns", "seq").mapInPandas(encode, "ns string, segment int, content binary")
+
+
+def write_log(log: DataFrame, path: str, segment_bytes: int = SEGMENT) -> int:
+    """Write a log as segment files under path, a folder that must not exist yet; the number of segments.
+    Each task writes its segments under names of its own and then gives them their final ones, so that a
+    task that is run again finds whole files or none."""
+    store, root = fs.FileSystem.from_uri(path)
+    if store.get_file_info(root).type != fs.FileType.NotFound:
+        raise FileExistsError(path)
+
+    def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(path)
+        for pdf in frames:
+            for r in pdf.itertuples():
+                folder = f"{root}/{r.folder}"
+                store.create_dir(folder, recursive=True)
+                name, own = f"{folder}/log.{r.segment}.seg", f"{folder}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(own) as out:
+                    out.write(r.content)
+                if store.get_file_info(name).type == fs.FileType.NotFound:
+                    store.move(own, name)
+                else:
+                    store.delete_file(own)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    made = encode_log(log, segment_bytes).withColumn("folder", codec.namespace_folder(F.col("ns")))
+    return made.mapInPandas(save, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -122,8 +122,7 @@ class Store:
 
     def metrics(self) -> DataFrame:
         """ns, records and bytes of every namespace."""
-        size = F.coalesce(F.octet_length("value"), F.lit(0))
-        return self.log().groupBy("ns").agg(F.count("*").alias("records"), F.sum(size).alias("bytes"))
+        return feed.metrics(self.log())
 
     def backup(self, target: str) -> None:
         compact.backup(self.log(), f"{target.rstrip('/')}/log")
