@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
-Both steps only group by a node and join the least neighbour back, so links stay distributed; each
-round is written to the shared folder, which ends its lineage, and the round before it is deleted.
+Both steps only group by a node and join the least neighbour back, so links stay distributed, those of
+the hub of a large group too; each step is written to the shared folder, which ends its lineage, and
+what was before it is deleted.
 Star-shaped links settle in two or three rounds, and any graph in a number of rounds that grows with the
 logarithm of its diameter.
 """
@@ -11,22 +12,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, spread_join, stored
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame) -> tuple[DataFrame, str]:
+    """The new links, and the folder of the least neighbours, which they read."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    out = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return out.where("a <> b").distinct()
+    least, path = stored(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+    near = least.select("a", F.least("a", "m").alias("m"))
+    out = spread_join(both.where("b > a"), near, ["a"], "b", least.select("a", "n"))
+    return out.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), path
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame) -> tuple[DataFrame, str]:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-    own = least.select(F.col("u").alias("a"), F.col("m").alias("b"))
-    moved = down.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return own.union(moved.where("a <> b")).distinct()
+    least, path = stored(down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+    moved = spread_join(down, least.select("a", "m"), ["a"], "b", least.select("a", "n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return least.select("a", F.col("m").alias("b")).union(moved.where("a <> b")).distinct(), path
 
 
 def _state(links: DataFrame) -> tuple:
@@ -39,9 +41,13 @@ def components(links: DataFrame) -> DataFrame:
     links, path = stored(links.where("a <> b").distinct(), "links")
     state = _state(links)
     while state[0]:
-        old = path
-        links, path = stored(_small_star(_large_star(links)), "links")
-        discard(links.sparkSession, old)
+        old = [path]
+        for step in (_large_star, _small_star):
+            made, least = step(links)
+            links, path = stored(made, "links")
+            old += [least, path]
+        for gone in old[:-1]:
+            discard(links.sparkSession, gone)
         before, state = state, _state(links)
         if state == before:
             break

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import superminhash as smh
 from . import textvec as tv
-from .common import cut, map_arrow, map_batches, small_side
+from .common import cut, map_arrow, map_batches, small_side, spread_join
 from .components import components
 
 BANDS, ROWS = 42, 6
@@ -143,9 +143,9 @@ def verified(documents: DataFrame, pairs: DataFrame, k: int, percent: int) -> Da
     sets = cut(_sets_of(documents, ids, k), "dedup-sets")
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    return (
-        pairs.join(left, "a").join(right, "b").where(_alike(F.col("x"), F.col("y"), percent)).select("a", "b").distinct()
-    )
+    counts = lambda side: pairs.groupBy(side).agg(F.count("*").alias("n"))  # noqa: E731  the leader of a large group has many
+    both = spread_join(spread_join(pairs, left, ["a"], "b", counts("a")), right, ["b"], "a", counts("b"))
+    return both.where(_alike(F.col("x"), F.col("y"), percent)).select("a", "b").distinct()
 
 
 def _meet(rows: DataFrame, parity: DataFrame, percent: int) -> DataFrame:
@@ -158,16 +158,17 @@ def _meet(rows: DataFrame, parity: DataFrame, percent: int) -> DataFrame:
     symmetric difference of the sets, and alike sets have a symmetric difference of at most
     (100 - percent) / (100 + percent) of the sum of their sizes. Nothing alike is dropped by that.
     """
-    top = (
+    top = cut(
         rows.groupBy("key", "component")
         .count()
         .groupBy("key")
         .agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("groups"), F.sum("count").alias("all"))
         .where("groups > 1")
-        .select("key", F.col("top.component").alias("top"), *[F.ceil(c / BLOCK).cast("int").alias(name) for c, name in (
-            (F.col("all") - F.col("top.count"), "few_blocks"), (F.col("all"), "all_blocks"))])
+        .select("key", F.col("all").alias("n"), F.col("top.component").alias("top"), *[F.ceil(c / BLOCK).cast("int").alias(name) for c, name in (
+            (F.col("all") - F.col("top.count"), "few_blocks"), (F.col("all"), "all_blocks"))]),
+        "dedup-top",
     )
-    full = rows.join(top, "key")
+    full = spread_join(rows, top.drop("n"), ["key"], "node", top.select("key", "n"))
     sketched = lambda df: df.join(parity, "node")
     dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -246,10 +247,11 @@ def pairs_across(documents: DataFrame, buckets: DataFrame, groups: DataFrame, pa
     sizes = rows.groupBy("key", "component").count().groupBy("key").agg(
         (F.sum("count") - F.max("count")).alias("few"), F.sum("count").alias("all")
     )
-    kinds = cut(sizes.where("few > 0").select("key", (F.col("few") > FEW).alias("heavy")), "dedup-kinds")
-    light = rows.join(kinds.where("not heavy").select("key"), "key", "left_semi").withColumn("leads", F.lit(True))
+    kinds = cut(sizes.where("few > 0").select("key", F.col("all").alias("n"), (F.col("few") > FEW).alias("heavy")), "dedup-kinds")
+    marked = spread_join(rows, kinds.select("key", "heavy"), ["key"], "node", kinds.select("key", "n"))
+    light = marked.where("not heavy").select("key", "node", "component", F.lit(True).alias("leads"))
     pairs = _meet(light, parity, percent)
-    heavy = cut(rows.join(kinds.where("heavy").select("key"), "key", "left_semi").select("node", "component").distinct(), "dedup-heavy")
+    heavy = cut(marked.where("heavy").select("node", "component").distinct(), "dedup-heavy")
     if heavy.isEmpty():
         return pairs
     sets = cut(_sets_of(documents, heavy.select("node").distinct(), k), "dedup-heavy-sets")
@@ -267,7 +269,7 @@ def shared_ids(sk: DataFrame, classes: DataFrame) -> DataFrame:
     if ids.isEmpty():
         return ids.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
     held = cut(
-        sk.join(small_side(ids), "doc_id", "left_semi").where("n_shingles > 0").join(classes, ["f1", "f2"]).select("doc_id", "node").distinct(),
+        sk.join(small_side(ids), "doc_id", "left_semi").where("n_shingles > 0").join(classes.drop("n"), ["f1", "f2"]).select("doc_id", "node").distinct(),
         "dedup-held",
     )
     least = held.groupBy("doc_id").agg(F.min("node").alias("a"))
@@ -280,7 +282,7 @@ def near_duplicates(
     """doc_id, n_shingles, component_id, kept: one row per document."""
     sk = cut(sketches(documents, k, bands, rows), "dedup-sketches")
     classes = cut(
-        sk.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("node")),
+        sk.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")),
         "dedup-classes",
     )
     reps = sk.join(
@@ -289,14 +291,16 @@ def near_duplicates(
     )
     rows_of = reps.select("node", F.explode("keys").alias("key"))
     mask = F.xxhash64("key")  # ids under a mask of the bucket's own: its least is a random member
-    shared = (
+    shared = cut(
         rows_of.select("key", F.col("node").bitwiseXOR(mask).alias("m"))
         .groupBy("key")
-        .agg(F.min("m").alias("low"), F.max("m").alias("high"))
+        .agg(F.min("m").alias("low"), F.max("m").alias("high"), F.count("*").alias("n"))
         .where("low < high")
-        .select("key", F.col("low").bitwiseXOR(mask).alias("lead"))
+        .select("key", F.col("low").bitwiseXOR(mask).alias("lead"), "n"),
+        "dedup-leads",
     )
-    buckets = cut(rows_of.join(shared, "key").select("key", "lead", "node"), "dedup-buckets")
+    met = spread_join(rows_of, shared.drop("n"), ["key"], "node", shared.select("key", "n"))
+    buckets = cut(met.select("key", "lead", "node"), "dedup-buckets")
     first = cut(
         buckets.where("node <> lead")
         .select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
@@ -310,14 +314,13 @@ def near_duplicates(
     if not rest.isEmpty():
         more = cut(verified(documents, rest, k, percent), "dedup-links")
         groups = cut(components(links.union(more)), "dedup-groups")
-    named = classes.join(groups, "node", "left").select(
-        F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "node").alias("component")
-    )
-    linked = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") > 0)
+    named = classes.join(groups, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
+    some = F.col("n_shingles") > 0  # rows without words all have one fingerprint, which is no class
+    linked = spread_join(sk.where(some).drop("keys", "parity"), named, ["f1", "f2"], "doc_id", classes.select("f1", "f2", "n"), "left")
+    alone = sk.where(~some).select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return (
-        sk.drop("keys", "parity")
-        .join(named, linked, "left")
+        linked.select("doc_id", "n_shingles", "component").union(alone)
         .select("doc_id", "n_shingles", component.alias("component_id"))
         .withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
     )
